@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Constants of a work order and of the activity check.
 SHORT_DESCRIPTION = "Anomaly Detected"
@@ -136,9 +135,3 @@ def first_open_activity(
         .agg(first.alias("a"))
         .select(*by, "a.*")
     )
-
-
-def first_match(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row of each key for small lookup results."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(window)).filter("__rn = 1").drop("__rn")

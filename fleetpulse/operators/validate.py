@@ -123,11 +123,23 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 
 
 def required_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """One row per required column with a presence flag and its type."""
+    """One row per required column: present or not, its type, and how many values it holds."""
     kinds = dict(df.dtypes)
-    return df.sparkSession.createDataFrame(
-        [(c, int(c in kinds), kinds.get(c)) for c in required],
-        "column string, present int, type string",
+    present = [c for c in required if c in kinds]
+    row = df.agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.count_if(~_missing(df, c)).alias(c) for c in present]
+    )
+    return _rows(
+        row,
+        [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(int(c in kinds)).alias("present"),
+                F.lit(kinds.get(c)).cast("string").alias("type"),
+                (F.col(c) if c in kinds else F.lit(0).cast("bigint")).alias("n_values"),
+            )
+            for c in required
+        ],
     )
 
 

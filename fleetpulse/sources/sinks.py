@@ -19,9 +19,9 @@ def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
 def replace_table(
     df: DataFrame, name: str, url: str | None = None, options: Mapping[str, str] | None = None
 ) -> None:
-    """Replace a catalog or JDBC table as a whole."""
+    """Replace a catalog or JDBC table as a whole (``options`` may name a catalog table's ``path``)."""
     if url is None:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        df.write.mode("overwrite").format("parquet").options(**(options or {})).saveAsTable(name)
     else:
         df.write.mode("overwrite").format("jdbc").options(
             url=url, dbtable=name, **(options or {})
@@ -32,7 +32,7 @@ def append_table(
     df: DataFrame, name: str, url: str | None = None, options: Mapping[str, str] | None = None
 ) -> None:
     if url is None:
-        df.write.mode("append").format("parquet").saveAsTable(name)
+        df.write.mode("append").format("parquet").options(**(options or {})).saveAsTable(name)
     else:
         df.write.mode("append").format("jdbc").options(
             url=url, dbtable=name, **(options or {})
