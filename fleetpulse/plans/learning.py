@@ -1 +1,258 @@
-"""Placeholder."""
+"""Model and detector queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetpulse.functions import physics
+from fleetpulse.operators import anomaly, metrics, models, prep, windows
+from fleetpulse.plans.registry import query, sql_over
+from fleetpulse.schema import SEQUENCE_FEATURES, TABULAR_FEATURES
+from fleetpulse.session import work_path
+from fleetpulse.sources import views
+
+_LABEL = "machine_failure"
+# Smaller than the library defaults, so that all queries together stay quick.
+_TREES, _DEPTH, _ROUNDS = 20, 6, 10
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    return views.labelled_readings(spark, folder).select("udi", *TABULAR_FEATURES, _LABEL)
+
+
+def _sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return prep.stratified_split(_rows(spark, folder), _LABEL, "udi")
+
+
+@query("feature_selection")
+def feature_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Forest importances on scaled, balanced training rows, with the selected ones marked."""
+    train, _ = _sets(spark, folder)
+    balanced = prep.upsample_minority(train, _LABEL, "udi")
+    scaled = prep.fit_standard(balanced, TABULAR_FEATURES).transform(balanced)
+    kept, table = models.select_by_importance(scaled, TABULAR_FEATURES, _LABEL, trees=_TREES)
+    return table.withColumn("selected", F.col("feature").isin(kept).cast("int"))
+
+
+@query("random_forest_scores")
+def random_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows scored by a forest that went through the model registry."""
+    train, test = _sets(spark, folder)
+    weighted = prep.class_weights(train, _LABEL)
+    fitted = models.random_forest(weighted, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH, "weight")
+    path = work_path(spark, "registry")
+    models.save_registry({"forest": (fitted, TABULAR_FEATURES)}, path, spark)
+    loaded, features = models.load_registry(spark, path)["forest"]
+    if not models.check_features(loaded, features)["matches"]:
+        raise ValueError("the stored model does not match its feature list")
+    return models.score(loaded, test, "score").select("udi", _LABEL, "score")
+
+
+@query("gbt_scores")
+def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _sets(spark, folder)
+    fitted = models.boosted_trees(train, TABULAR_FEATURES, _LABEL, _ROUNDS, 4)
+    return models.score(fitted, test, "score").select("udi", _LABEL, "score")
+
+
+@query("soft_voting")
+def soft_voting(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of a forest, boosted trees and their mean probability on test rows."""
+    train, test = _sets(spark, folder)
+    fitted = {
+        "forest": models.random_forest(train, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH),
+        "boosted": models.boosted_trees(train, TABULAR_FEATURES, _LABEL, _ROUNDS, 4),
+    }
+    voted = models.soft_vote(fitted, test)
+    cells = F.array(
+        *[
+            F.struct(F.lit(name).alias("model"), F.col(c).alias("score"))
+            for name, c in (("forest", "forest"), ("boosted", "boosted"), ("vote", "final_score"))
+        ]
+    )
+    long = voted.select(_LABEL, F.explode(cells).alias("c")).select(_LABEL, "c.*")
+    decided = long.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return metrics.evaluate(decided, _LABEL, "pred", "score", ["model"])
+
+
+@query("model_search")
+def model_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean F1 of random settings over stratified folds, with the best one marked."""
+    folded = prep.stratified_folds(_rows(spark, folder), _LABEL, "udi", 3)
+    settings = models.random_settings(4, trees=(5, 10))
+    settings = [{**s, "depth": min(s["depth"], 6)} for s in settings]
+    results = models.random_search(folded, TABULAR_FEATURES, _LABEL, settings, folds=3)
+    best = models.best_setting(results).select("trial", F.lit(1).alias("best"))
+    return results.join(best, "trial", "left").fillna(0, ["best"])
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = views.labelled_readings(spark, folder)
+    scaled = prep.fit_minmax(rows.filter("udi % 5 <> 0"), SEQUENCE_FEATURES).transform(rows)
+    found = windows.sequences(scaled, SEQUENCE_FEATURES, ["machine_id"], ["event_time", "udi"])
+    return found.select("udi", _LABEL, "sequence", (F.col("udi") % 5).cast("int").alias("fold"))
+
+
+@query("sequence_classifier")
+def sequence_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-validated window models with weighted failures, retried while they are poor."""
+
+    def fit(train: DataFrame, config: dict):
+        weighted = prep.class_weights(train, _LABEL, models.FAILURE_WEIGHTS)
+        fitted = models.sequence_model(
+            weighted, _LABEL, config["kind"], rounds=20, rate=config["rate"], size=config["size"], weight="weight"
+        )
+        return lambda part, name: models.sequence_score(fitted, part, name)
+
+    rows = _windows(spark, folder).withColumn("fold", F.col("fold") % 3)
+    out, _ = models.adaptive_cross_validate(
+        rows, "fold", 3, _LABEL, fit, {"kind": "logistic", "rate": 0.03, "size": 32}, max_rounds=2
+    )
+    return out
+
+
+@query("sequence_perceptron")
+def sequence_perceptron(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out window scores of a small perceptron trained on oversampled windows."""
+    rows = _windows(spark, folder)
+    train = prep.oversample(rows.filter("fold <> 0"), _LABEL, "udi")
+    fitted = models.sequence_model(train, _LABEL, "perceptron", rounds=15, size=8)
+    return models.sequence_score(fitted, rows.filter("fold = 0"), "score").select("udi", _LABEL, "score")
+
+
+@query("time_step_selection")
+def time_step_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean F1 per foldable number of time steps of the flat feature vector."""
+    rows = views.labelled_readings(spark, folder)
+    features = [c for c in SEQUENCE_FEATURES if c not in ("hdf_condition", "twf_condition", "osf_condition", "failure_risk")]
+    scaled = prep.fit_minmax(rows, features).transform(rows)
+    folded = prep.folds(scaled, "udi", 2)
+    return models.select_time_steps(folded, features, _LABEL, "fold", 2, (2, 5))
+
+
+@query("permutation_importance")
+def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _sets(spark, folder)
+    fitted = models.random_forest(train, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH)
+    return models.permutation_importance(fitted, test, TABULAR_FEATURES, _LABEL, "udi")
+
+
+_DETECTED = ["process_temp_k", "power", "tool_torque_product"]
+
+
+def _scaled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = physics.add_physics(views.readings(spark, folder)).select("udi", *_DETECTED)
+    return prep.fit_standard(rows, _DETECTED).transform(rows)
+
+
+@query("isolation_forest")
+def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _rows(spark, folder)
+    fitted = anomaly.isolation_forest(rows, TABULAR_FEATURES, "udi", 0.01)
+    scored = fitted.score(rows, "score")
+    return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
+
+
+# The scaled columns, and all pairs of rows, as plain SQL.
+_STANDARD = ", ".join(
+    f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as x{i}" for i, c in enumerate(_DETECTED)
+)
+_GAP = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(_DETECTED)))
+
+
+@query(
+    "lof",
+    sql_over(
+        "physics",
+        f"""with p as materialized (select udi, {_STANDARD} from physics),
+        near as materialized (select a.udi,
+            unnest(min({{'d': sqrt({_GAP}), 'id': b.udi}}, 20)) as n
+          from p a join p b on a.udi <> b.udi group by a.udi),
+        kd as materialized (select udi, max(n.d) as kdist from near group by udi),
+        lrd as materialized (select near.udi, 1 / (avg(greatest(kd.kdist, n.d)) + 1e-10) as lrd
+          from near join kd on kd.udi = n.id group by near.udi)
+        select near.udi, round(avg(o.lrd) / max(s.lrd), 5) as factor
+        from near join lrd o on o.udi = n.id join lrd s on s.udi = near.udi group by near.udi""",
+    ),
+)
+def lof(spark: SparkSession, folder: str) -> DataFrame:
+    """Outlier factor of every reading among all readings (20 neighbours)."""
+    rows = _scaled(spark, folder)
+    cells, _, factor = anomaly.local_outlier_factors(rows, _DETECTED, "udi", 20)
+    found = cells.refs.select("vid", "vec").join(factor, "vid").select(F.col("vec").alias("v"), "factor")
+    keyed = rows.select("udi", anomaly.vector(_DETECTED).alias("v"))
+    return keyed.join(found, "v").select("udi", F.round("factor", 5).alias("factor"))
+
+
+@query("lof_novelty")
+def lof_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of one fold scored against the others."""
+    rows = _scaled(spark, folder)
+    fitted = anomaly.local_outlier_factor(rows.filter("udi % 5 <> 0"), _DETECTED, "udi", 0.01)
+    scored = fitted.score(rows.filter("udi % 5 = 0"), "udi", "score")
+    return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
+
+
+@query(
+    "dbscan",
+    sql_over(
+        "physics",
+        f"""with p as materialized (select udi, {_STANDARD} from physics),
+        core as materialized (select a.udi from p a join p b on {_GAP} <= cast(0.01 as double)
+          group by a.udi having count(*) >= 5),
+        touched as (select distinct a.udi from p a join (select p.* from p join core using (udi)) b
+          on {_GAP} <= cast(0.01 as double))
+        select udi, cast(udi not in (select udi from touched) as int) as noise from p""",
+    ),
+)
+def dbscan(spark: SparkSession, folder: str) -> DataFrame:
+    """Noise of density clustering with radius 0.1 and five rows."""
+    rows = _scaled(spark, folder)
+    return anomaly.density_noise(rows, _DETECTED, "udi", 0.1, 5).select("udi", "noise")
+
+
+@query("ocsvm")
+def ocsvm(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scaled(spark, folder)
+    fitted = anomaly.one_class_svm(rows, _DETECTED, 0.01, dimensions=64, rounds=5)
+    scored = fitted.score(rows, "score")
+    return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
+
+
+@query(
+    "smote",
+    sql_over(
+        "labelled",
+        """with c as (select machine_failure, count(*) as n from labelled group by 1)
+        select machine_failure, 0 as synthetic, n, 0 as n_outside from c
+        union all select 1, 1, max(n) - min(n), 0 from c""",
+    ),
+)
+def smote(spark: SparkSession, folder: str) -> DataFrame:
+    """Class counts with new rows, and new rows outside the minority's value ranges."""
+    rows = views.labelled_readings(spark, folder)
+    cols = ["temp_diff", "power", "tool_torque_product"]
+    made = anomaly.smote(rows, cols, _LABEL, "udi")
+    low = {c: F.min(F.when(F.col(_LABEL) == 1, F.col(c))) for c in cols}
+    high = {c: F.max(F.when(F.col(_LABEL) == 1, F.col(c))) for c in cols}
+    edge = rows.agg(
+        *[v.alias(f"{c}_low") for c, v in low.items()], *[v.alias(f"{c}_high") for c, v in high.items()]
+    ).first()
+    outside = F.lit(False)
+    for c in cols:
+        outside = outside | ~F.col(c).between(edge[f"{c}_low"] - 1e-9, edge[f"{c}_high"] + 1e-9)
+    return made.groupBy(_LABEL, "synthetic").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(outside & (F.col(_LABEL) == 1)).cast("int").alias("n_outside"),
+    )
+
+
+@query("anomaly_cross_validation")
+def anomaly_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Training history of detectors and their vote over two folds."""
+    rows = views.labelled_readings(spark, folder)
+    settings = models.AnomalySettings(
+        trees=_TREES, components=3, forest_depth=_DEPTH, detectors=("IsolationForest", "RandomForest", "DBSCAN")
+    )
+    return models.anomaly_cross_validate(rows, SEQUENCE_FEATURES[:9], _LABEL, "udi", 2, settings)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions import physics
 from fleetpulse.operators import prep, validate
 from fleetpulse.plans.registry import SENSORS, query, sql_over
-from fleetpulse.schema import CONTINUOUS_COLUMNS, create_tables, external
+from fleetpulse.schema import SENSOR, create_tables, external
 from fleetpulse.session import work_path
 from fleetpulse.sources import readers, sinks, views
 
@@ -122,8 +122,8 @@ def _report_sql() -> str:
             ("process below air temperature", "", "count(*) filter (where process_temp_k < air_temp_k)"),
             ("negative torque", "", "count(*) filter (where torque_nm < 0)"),
             ("duplicate rows", "", f"count(*) - (select count(*) from (select distinct * from {source}))"),
-            ("missing column", "product_id", "1"),
-            ("missing column", "machine_failure", "1"),
+            ("missing column", "product_id", "max(1)"),
+            ("missing column", "machine_failure", "max(1)"),
         ]
         parts += [
             f"select '{dataset}' as dataset, '{check}' as \"check\", '{c}' as subject, "
@@ -250,8 +250,6 @@ def load_tables(spark: SparkSession, folder: str) -> DataFrame:
 )
 def typed_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Create the typed reading table when it is absent, then load it."""
-    from fleetpulse.schema import SENSOR
-
     create_tables(spark, {"sensor_readings": SENSOR})
     rows = views.labelled_readings(spark, folder).withColumn(
         "product_id", physics.product_id(F.col("type"), F.col("udi") % 100000)
@@ -277,11 +275,3 @@ def class_distribution(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("machine_failure")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("balanced_weight"))
     )
-
-
-def continuous(df: DataFrame) -> DataFrame:
-    """The compared continuous columns of engineered readings."""
-    return df.withColumn("air_temp_diff", F.col("temp_diff"))
-
-
-CONTINUOUS = CONTINUOUS_COLUMNS

@@ -103,9 +103,9 @@ _KS_LONG = "\nunion all ".join(
           cast(max(ta) as bigint) as n1, cast(max(tb) as bigint) as n2 from run group by feature),
         l as (select *, ks * ks * (cast(n1 as double) * n2 / (n1 + n2)) as lam2 from d)
         select feature, n1, n2, round(ks, 6) as ks, round(case when lam2 < cast(0.04 as double) then 1.0
-          else greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101),
-            k -> (case when k % 2 = 1 then 1 else -1 end)
-              * exp(greatest(cast(-2 as double) * k * k * lam2, cast(-700 as double))))))) end, 6)
+          else greatest(0.0, least(1.0, 2 * (select sum((case when k % 2 = 1 then 1 else -1 end)
+            * exp(greatest(cast(-2 as double) * k * k * lam2, cast(-700 as double))))
+            from range(1, 101) terms(k)))) end, 6)
           as p_value from l""",
     ),
 )
