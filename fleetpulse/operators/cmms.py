@@ -82,6 +82,20 @@ def resolve(df: DataFrame, dim: DataFrame, key: Column | str, name: str, how: st
     return df.join(ids, key == F.col(f"__{name}_lookup"), how).drop(f"__{name}_lookup")
 
 
+def lookup_id(dim: DataFrame, text: str) -> int | None:
+    """Id of the entry whose code or description is ``text``; the smallest if there are several."""
+    hit = (F.col("code") == text) | (F.col("description") == text)
+    return dim.filter(hit).agg(F.min("id").alias("id")).first()["id"]
+
+
+def _with_id(df: DataFrame, dim: DataFrame, key: Column | str, name: str) -> DataFrame:
+    """Id for a fixed text (looked up once) or a key column (joined); misses are dropped."""
+    if isinstance(key, Column):
+        return resolve(df, dim, key, name, "inner")
+    found = lookup_id(dim, key)
+    return df.filter(F.lit(found is not None)).withColumn(name, F.lit(found).cast("bigint"))
+
+
 def work_orders(
     alerts: DataFrame,
     priorities: DataFrame,
@@ -94,11 +108,14 @@ def work_orders(
     requester: Column | str,
     opened: Column | None = None,
 ) -> DataFrame:
-    """One work order per alert; alerts with an unknown id on any side are skipped."""
-    ids = resolve(alerts, priorities, priority, "priority_id", "inner")
-    ids = resolve(ids, types, kind, "type_id", "inner")
-    ids = resolve(ids, sites, site, "site_id", "inner")
-    ids = resolve(ids, staff, requester, "requester_id", "inner")
+    """One work order per alert; alerts with an unknown id on any side are skipped.
+
+    Each key is a fixed text or a column of the alerts.
+    """
+    ids = _with_id(alerts, priorities, priority, "priority_id")
+    ids = _with_id(ids, types, kind, "type_id")
+    ids = _with_id(ids, sites, site, "site_id")
+    ids = _with_id(ids, staff, requester, "requester_id")
     opened = F.current_timestamp() if opened is None else opened
     message = F.to_json(
         F.struct(

@@ -8,6 +8,7 @@ them. The cut points only place rows, so results are exact whatever they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -28,16 +29,16 @@ def sort_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def cut_points(
+def quantile_cuts(
     df: DataFrame,
     values: Mapping[str, Column],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
 ) -> dict[str, list[float]]:
-    """Approximate quantiles of each value; empty when one bucket is enough.
+    """Approximate quantiles of each value, in order; empty when one bucket is enough.
 
     At most ``max_buckets`` doubles per value reach the driver, whatever the
-    size of the data.
+    size of the data. A value that is listed twice fills a bucket by itself.
     """
     rows = df.count()
     buckets = min(max_buckets, -(-rows // rows_per_bucket))
@@ -53,7 +54,18 @@ def cut_points(
             for name, v in finite.items()
         ]
     ).first()
-    return {name: sorted(set(row[name] or [])) for name in values}
+    return {name: sorted(row[name] or []) for name in values}
+
+
+def cut_points(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = MAX_BUCKETS,
+) -> dict[str, list[float]]:
+    """The different values among :func:`quantile_cuts`."""
+    found = quantile_cuts(df, values, rows_per_bucket, max_buckets)
+    return {name: sorted(set(cuts)) for name, cuts in found.items()}
 
 
 def with_buckets(df: DataFrame, columns: Mapping[str, list[float]]) -> DataFrame:
@@ -75,15 +87,33 @@ def with_buckets(df: DataFrame, columns: Mapping[str, list[float]]) -> DataFrame
 
 def bucketed(
     df: DataFrame,
-    order: str,
+    order: Sequence[str],
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
+    among: Column | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Add the bucket of one ordering column; says whether there is more than one."""
-    keyed = df.withColumn("__sort", sort_value(df, order))
-    cuts = cut_points(df, {"__sort": sort_value(df, order)}, rows_per_bucket, max_buckets)
-    out = with_buckets(keyed, cuts).withColumnRenamed(f"__sort{BUCKET}", BUCKET).drop("__sort")
-    return out, bool(cuts["__sort"])
+    """Add a bucket number that grows with ``order``; says whether there are several.
+
+    Buckets are cut on the first ordering column. A single value of it that fills
+    whole buckets (one time stamp on a third of all rows) gets a bucket of its
+    own, which is cut further on the second column. ``among`` limits the rows the
+    cuts are taken from.
+    """
+    keyed = df.withColumn("__sort", sort_value(df, order[0]))
+    some = keyed if among is None else keyed.filter(among)
+    found = quantile_cuts(some, {"__sort": F.col("__sort")}, rows_per_bucket, max_buckets)["__sort"]
+    repeated = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    cuts = sorted({*found, *[math.nextafter(v, math.inf) for v in repeated]})
+    placed = with_buckets(keyed, {"__sort": cuts}).withColumnRenamed(f"__sort{BUCKET}", BUCKET)
+    if not repeated or len(order) < 2:
+        return placed.drop("__sort"), bool(cuts)
+    tied = F.col("__sort").isin(repeated)
+    second = placed.withColumn("__next", sort_value(df, order[1]))
+    some = second if among is None else second.filter(among)
+    inner = cut_points(some.filter(tied), {"__next": F.col("__next")}, rows_per_bucket, max_buckets)
+    part = F.when(tied, F.col(f"__next{BUCKET}") / F.lit(len(inner["__next"]) + 2.0)).otherwise(F.lit(0.0))
+    out = with_buckets(second, inner).withColumn(BUCKET, F.col(BUCKET) + part)
+    return out.drop("__sort", "__next", f"__next{BUCKET}"), True
 
 
 def add_ordinal(
@@ -99,7 +129,7 @@ def add_ordinal(
     for the result to be defined.
     """
     order = [order] if isinstance(order, str) else list(order)
-    placed, many = bucketed(df, order[0], rows_per_bucket)
+    placed, many = bucketed(df, order, rows_per_bucket)
     block = [*by, BUCKET]
     within = F.row_number().over(Window.partitionBy(*block).orderBy(*order)) - 1
     if not many:
@@ -167,7 +197,7 @@ def running_totals(
     buckets (from :func:`unpivot`); then ``many`` says if there are several.
     """
     if many is None:
-        df, many = bucketed(df, value, rows_per_bucket)
+        df, many = bucketed(df, [value], rows_per_bucket)
     block = [*by, BUCKET]
     steps = df.groupBy(*block, value).agg(*[agg.alias(x) for x, agg in totals.items()])
     way = F.desc if descending else F.asc

@@ -76,8 +76,8 @@ def orders_for(spark: SparkSession, folder: str, alerts: DataFrame, opened=None)
         views.work_types(spark, folder),
         views.sites(spark, folder),
         views.staff(spark, folder),
-        priority=F.lit("3"),
-        kind=F.lit("ASIA"),
+        priority="3",
+        kind="ASIA",
         site=site_of(),
         requester=requester_of(),
         opened=opened,
