@@ -54,13 +54,15 @@ def _mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def subsamples(df: DataFrame, key: str, trees: int, rows: int, seed: int) -> DataFrame:
+def subsamples(
+    df: DataFrame, key: str, trees: int, rows: int, seed: int, total: int | None = None
+) -> DataFrame:
     """``(tree, ...)``: up to ``rows`` rows per tree, picked by hash.
 
     A bounded pool is kept by one hash per row, then shared out to the trees, so
     the cost per input row does not depend on the number of trees.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     wanted = 2 * rows * trees
     share = min(1.0, wanted / max(total, 1))
     pool = df.filter(
@@ -148,7 +150,8 @@ def isolation_forest(
     rows: int = 256,
 ) -> IsolationForest:
     """Fit an isolation forest: each tree is one small group, grown in parallel."""
-    sample = subsamples(df.select(key, *features), key, trees, rows, seed)
+    count = df.count()
+    sample = subsamples(df.select(key, *features), key, trees, rows, seed, count)
     limit = math.ceil(math.log2(max(rows, 2)))
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +168,7 @@ def isolation_forest(
         tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))
         for _, part in nodes.groupby("tree")
     )
-    total = min(rows, df.count())
+    total = min(rows, count)
     bare = IsolationForest(tuple(features), grown, total)
     offset = _upper_quantile(bare.score(df, "__s"), "__s", contamination)
     return IsolationForest(tuple(features), grown, total, offset)
@@ -316,7 +319,7 @@ class OneClassSvm:
     weights: np.ndarray
     offset: float
 
-    def score(self, df: DataFrame, name: str = "ocsvm") -> DataFrame:
+    def raw(self, vec: Column) -> Column:
         directions, phases, weights = self.directions, self.phases, self.weights
 
         @F.pandas_udf("double")
@@ -325,7 +328,10 @@ class OneClassSvm:
                 return pd.Series([], dtype="float64")
             return pd.Series(_fourier(np.stack(batch.to_numpy()), directions, phases) @ weights)
 
-        return df.withColumn(name, F.lit(self.offset) - inner(vector(self.features)))
+        return F.lit(self.offset) - inner(vec)
+
+    def score(self, df: DataFrame, name: str = "ocsvm") -> DataFrame:
+        return df.withColumn(name, self.raw(vector(self.features)))
 
 
 def _fourier(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
@@ -348,7 +354,8 @@ def one_class_svm(
     ``nu`` quantile of the training scores.
     """
     d = len(features)
-    rows = df.select(vector(features).alias("vec"))
+    # Read many times, so the vectors are stored once.
+    rows = written(df.select(vector(features).alias("vec")), "svm-vectors")
     if gamma is None:
         # 1 / (features * variance of all matrix cells).
         cells = rows.select(F.explode("vec").alias("v")).agg(F.var_pop("v").alias("var")).first()
@@ -385,12 +392,12 @@ def one_class_svm(
     for step in range(1, rounds + 1):
         # For given weights the best margin is the nu quantile of the projections.
         bare = OneClassSvm(tuple(features), directions, phases, weights, 0.0)
-        margin = bare.score(df, "__s").agg(F.approx_percentile(-F.col("__s"), nu, 10_000).alias("q"))
+        margin = rows.agg(F.approx_percentile(-bare.raw(F.col("vec")), nu, 10_000).alias("q"))
         rho = margin.first()["q"]
         rate = 1.0 / (step + 1.0)
         weights = (1.0 - rate) * weights + rate * mean_features(weights, rho)
     bare = OneClassSvm(tuple(features), directions, phases, weights, 0.0)
-    offset = _upper_quantile(bare.score(df, "__s"), "__s", nu)
+    offset = _upper_quantile(rows.select(bare.raw(F.col("vec")).alias("__s")), "__s", nu)
     return OneClassSvm(tuple(features), directions, phases, weights, -offset)
 
 

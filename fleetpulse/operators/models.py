@@ -40,6 +40,14 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
+def spread(train: DataFrame) -> DataFrame:
+    """Training rows over all shuffle partitions: learners make many passes over them.
+
+    Rows that come out of a per-class step would otherwise sit in a few tasks.
+    """
+    return train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def random_forest(
     train: DataFrame,
     features: Sequence[str],
@@ -58,7 +66,8 @@ def random_forest(
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(features), forest]).fit(train)
+    used = train.select(*features, label, *([weight] if weight else []))
+    return Pipeline(stages=[_assembler(features), forest]).fit(spread(used))
 
 
 def boosted_trees(
@@ -74,7 +83,8 @@ def boosted_trees(
     trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
     if weight:
         trees = trees.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(features), trees]).fit(train)
+    used = train.select(*features, label, *([weight] if weight else []))
+    return Pipeline(stages=[_assembler(features), trees]).fit(spread(used))
 
 
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -143,7 +153,7 @@ def random_search(
     seed: int = 42,
 ) -> DataFrame:
     """Mean F1 over given folds for each setting: ``trial, model, trees, depth, rate, mean_f1``."""
-    rows = _assembler(features).transform(df).select("features", label, fold_col)
+    rows = _assembler(features).transform(spread(df)).select("features", label, fold_col)
     scored = []
     for kind in ("random_forest", "boosted_trees"):
         chosen = [s for s in settings if s["model"] == kind]
@@ -200,7 +210,7 @@ def sequence_model(
 
     Only the first two take row weights; give the perceptron resampled rows.
     """
-    rows = train.withColumn("features", arrays.flat_vector(F.col(sequence)))
+    rows = spread(train).withColumn("features", arrays.flat_vector(F.col(sequence)))
     if kind == "perceptron":
         learner = MultilayerPerceptronClassifier(
             labelCol=label, layers=[width, size, 2], maxIter=rounds, stepSize=rate, seed=seed

@@ -99,24 +99,22 @@ def _reachable(cells: Cells, skip_own: bool):
     @F.pandas_udf("array<int>")
     def targets(vec: pd.Series, cell: pd.Series, limit: pd.Series) -> pd.Series:
         out = []
-        gaps: dict[int, np.ndarray] = {}
         q = np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, pivots.shape[1]))
-        limits = limit.fillna(np.inf).to_numpy()
-        own = cell.to_numpy()
+        limits, own = limit.fillna(np.inf).to_numpy(), cell.to_numpy()
         for at in range(0, len(q), _QUERY_ROWS):
-            d = _distances(q[at : at + _QUERY_ROWS], pivots)
-            for i, row in enumerate(d):
-                c, most = int(own[at + i]), limits[at + i]
-                if c not in gaps:
-                    gaps[c] = _distances(pivots[c : c + 1], pivots)[0]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (row * row - row[c] * row[c]) / (2 * gaps[c])
-                plane = np.where(np.isfinite(plane), plane, 0.0)
-                low = np.maximum(row - radius, plane)
-                near = (low <= most + 1e-9 * (1.0 + row)) & (rows > 0)
-                if skip_own:
-                    near[c] = False
-                out.append(np.flatnonzero(near).astype("int32"))
+            block = slice(at, at + _QUERY_ROWS)
+            d = _distances(q[block], pivots)
+            some, place = np.unique(own[block], return_inverse=True)
+            gaps = _distances(pivots[some], pivots)[place]
+            # Distance to the plane halfway between the own and the other pivot.
+            mine = d[np.arange(len(d)), own[block]][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d * d - mine * mine) / (2 * gaps)
+            low = np.maximum(d - radius, np.where(np.isfinite(plane), plane, 0.0))
+            near = (low <= limits[block][:, None] + 1e-9 * (1.0 + d)) & (rows > 0)
+            if skip_own:
+                near[np.arange(len(d)), own[block]] = False
+            out += [np.flatnonzero(row).astype("int32") for row in near]
         return pd.Series(out)
 
     return targets
