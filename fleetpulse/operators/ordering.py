@@ -22,11 +22,14 @@ BUCKET = "__bucket"
 
 
 def sort_value(df: DataFrame, name: str) -> Column:
-    """A double that grows with the ordering column (numbers, dates, timestamps)."""
+    """A double that grows with the ordering column (numbers, dates, timestamps).
+
+    Adding zero makes one value of 0.0 and -0.0, which bucketing would tell apart.
+    """
     kind = dict(df.dtypes)[name]
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+    return F.col(name).cast("double") + F.lit(0.0)
 
 
 def quantile_cuts(
@@ -158,7 +161,7 @@ def unpivot(
 
     The buckets are cut per column before unpivoting, in one pass for all columns.
     """
-    doubles = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
+    doubles = df.select(*keep, *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols])
     cuts = cut_points(doubles, {c: F.col(c) for c in cols}, rows_per_bucket)
     placed = with_buckets(doubles, cuts)
     cells = F.array(
