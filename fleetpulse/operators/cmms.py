@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.sources.sinks import write_csv
+
 # Constants of a work order and of the activity check.
 SHORT_DESCRIPTION = "Anomaly Detected"
 NOTES = "An anomaly was detected in the sensor readings."
@@ -58,6 +60,26 @@ def maintenance(records: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
+def extract(
+    assets: DataFrame, corrective: DataFrame, preventive: DataFrame, folder: str
+) -> dict[str, str]:
+    """Write active assets and both kinds of maintenance as CSV; empty results are skipped.
+
+    Returns the folder of each file set that was written.
+    """
+    results = {
+        "assets": active_assets(assets),
+        "corrective_maintenance": maintenance(corrective, assets),
+        "preventive_maintenance": maintenance(preventive, assets),
+    }
+    out = {}
+    for name, df in results.items():
+        if not df.isEmpty():
+            out[name] = f"{folder}/{name}"
+            write_csv(df, out[name])
+    return out
+
+
 def lookup_keys(dim: DataFrame) -> DataFrame:
     """Dimension ``(id, code, description)`` as ``(lookup, id)``: one row per code or description.
 

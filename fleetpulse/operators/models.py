@@ -210,7 +210,9 @@ def sequence_model(
 
     Only the first two take row weights; give the perceptron resampled rows.
     """
-    rows = spread(train).withColumn("features", arrays.flat_vector(F.col(sequence)))
+    rows = train.select(
+        arrays.flat_vector(F.col(sequence)).alias("features"), label, *([weight] if weight else [])
+    )
     if kind == "perceptron":
         learner = MultilayerPerceptronClassifier(
             labelCol=label, layers=[width, size, 2], maxIter=rounds, stepSize=rate, seed=seed
@@ -307,7 +309,7 @@ def select_time_steps(
         rows = df.select(fold_col, label, F.array(step_summary(flat, width, t)).alias("sequence"))
 
         def fit(train: DataFrame, config: dict, size: int = 3 * (width // t)):
-            model = sequence_model(train, label, width=size)
+            model = sequence_model(train, label, width=size, rounds=20)
             return lambda part, name: sequence_score(model, part, name, width=size)
 
         result = cross_validated_auc(rows, fold_col, folds, label, fit, {})

@@ -214,9 +214,10 @@ def running_totals(
         )
     group = Window.partitionBy(*by)
     ahead = group.orderBy(way(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    # Straight from the rows: at most one partial row per block leaves a task.
     offsets = (
-        steps.groupBy(*block)
-        .agg(*[F.sum(x).alias(f"__{x}") for x in totals])
+        df.groupBy(*block)
+        .agg(*[agg.alias(f"__{x}") for x, agg in totals.items()])
         .select(
             *block,
             *[F.coalesce(F.sum(f"__{x}").over(ahead), F.lit(0)).alias(f"__off_{x}") for x in totals],

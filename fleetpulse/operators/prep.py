@@ -23,11 +23,11 @@ class Scaler:
     center: dict[str, float]
     scale: dict[str, float]
 
-    def transform(self, df: DataFrame, suffix: str | None = None) -> DataFrame:
-        """Scale in place, or into ``<c><suffix>`` columns."""
+    def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Scale in place, or into ``<prefix><c>`` columns."""
         return df.withColumns(
             {
-                c + (suffix or ""): (F.col(c).cast("double") - F.lit(self.center[c]))
+                prefix + c: (F.col(c).cast("double") - F.lit(self.center[c]))
                 / F.lit(self.scale[c])
                 for c in self.center
             }

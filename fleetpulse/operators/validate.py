@@ -189,6 +189,28 @@ def shape(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def table_profile(df: DataFrame, name: str) -> DataFrame:
+    """Row and column count and the columns with gaps, as ``(table, measure, subject, value)``."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.count_if(_missing(df, c)).alias(c) for c in df.columns]
+    )
+
+    def cell(measure: str, subject: str, value: Column) -> Column:
+        return F.struct(
+            F.lit(measure).alias("measure"),
+            F.lit(subject).alias("subject"),
+            value.cast("bigint").alias("value"),
+        )
+
+    cells = [
+        cell("rows", "", F.col("__rows")),
+        cell("columns", "", F.lit(len(df.columns))),
+        *[cell("missing", c, F.col(c)) for c in df.columns],
+    ]
+    lines = _rows(row, cells).filter((F.col("measure") != "missing") | (F.col("value") > 0))
+    return lines.select(F.lit(name).alias("table"), "*")
+
+
 def integrate(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Both sets by column name with a ``source`` column; absent columns become NULL."""
     return real.withColumn("source", F.lit("real")).unionByName(

@@ -180,8 +180,8 @@ def log_features(spark: SparkSession, folder: str) -> DataFrame:
 )
 def zscore_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.readings(spark, folder).select("udi", *SENSORS)
-    scaled = prep.fit_standard(rows, SENSORS).transform(rows)
-    return scaled.select("udi", *[F.round(c, 6).alias(f"scaled_{c}") for c in SENSORS])
+    scaled = prep.fit_standard(rows, SENSORS).transform(rows, "scaled_")
+    return scaled.select("udi", *rounded(*[f"scaled_{c}" for c in SENSORS]))
 
 
 @query(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import cmms, ensemble
 from fleetpulse.plans.registry import query, sql_over
-from fleetpulse.sources import views
+from fleetpulse.schema import ASSET, MAINTENANCE
+from fleetpulse.session import work_path
+from fleetpulse.sources import readers, views
 
 
 @query(
@@ -58,6 +60,35 @@ def preventive_left_join(spark: SparkSession, folder: str) -> DataFrame:
     return _text_dates(cmms.maintenance(views.preventive(spark, folder), views.assets(spark, folder)))
 
 
+@query(
+    "maintenance_extraction",
+    sql_over(
+        "asset",
+        """select 'assets' as name, count(*) as n_rows, count(Code) as n_codes from asset where Status = 'A'
+        union all select 'corrective_maintenance', count(*), count(asset.Code)
+          from orders left join asset on o_custkey = asset.Id where o_orderstatus = 'O'
+        union all select 'preventive_maintenance', count(*), count(asset.Code)
+          from lineitem left join asset on l_partkey = asset.Id where l_linestatus = 'O'""",
+    ),
+)
+def maintenance_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Three CSV extracts, read back with their schemas."""
+    written = cmms.extract(
+        views.assets(spark, folder),
+        views.corrective(spark, folder),
+        views.preventive(spark, folder),
+        work_path(spark, "extract"),
+    )
+    out = None
+    for name, path in written.items():
+        rows = readers.read_csv(spark, path, ASSET if name == "assets" else MAINTENANCE)
+        line = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count("asset_code").alias("n_codes")).select(
+            F.lit(name).alias("name"), "*"
+        )
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 def site_of(machine: str = "machine_id"):
     return (F.col(machine) % 30).cast("string")
 

@@ -168,6 +168,23 @@ def table_shapes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "table_profiles",
+    sql_over(
+        "dirty",
+        """select 'dirty' as "table", 'rows' as measure, '' as subject, count(*) as value from dirty
+        union all select 'dirty', 'columns', '', 10
+        union all select 'dirty', 'missing', 'torque_nm', count(*) - count(torque_nm) from dirty
+        union all select 'events', 'rows', '', count(*) from events
+        union all select 'events', 'columns', '', 6""",
+    ),
+)
+def table_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.table_profile(_dirty(spark, folder), "dirty").unionByName(
+        validate.table_profile(views.table(spark, folder, "events"), "events")
+    )
+
+
 @query(
     "integrate_dropna",
     sql_over(

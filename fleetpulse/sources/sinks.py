@@ -12,6 +12,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A small long-format report as one text file, one ``a | b | c`` line per row."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns]
+    lines = report.select(F.concat_ws(" | ", *cells).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
 def write_parquet(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 

@@ -166,8 +166,8 @@ def test_scalers(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, c double")
     rows = prep.fit_standard(df, ["a", "c"]).transform(df).orderBy("a").collect()
     assert [tuple(r) for r in rows] == [(-1.0, 0.0), (1.0, 0.0)]
-    rows = prep.fit_minmax(df, ["a", "c"]).transform(df, "_s").orderBy("a").collect()
-    assert [(r["a_s"], r["c_s"]) for r in rows] == [(0.0, 0.0), (1.0, 0.0)]
+    rows = prep.fit_minmax(df, ["a", "c"]).transform(df, "s_").orderBy("a").collect()
+    assert [(r["s_a"], r["s_c"]) for r in rows] == [(0.0, 0.0), (1.0, 0.0)]
     assert prep.variance_filter(df, ["a", "c"]).columns == ["a"]
 
 

@@ -206,3 +206,30 @@ def test_scale_and_reduce(spark):
     df = learnable(spark, 100)
     train, validation = prep.scale_and_reduce(df.filter("id < 80"), df.filter("id >= 80"), ["a", "b"], 20)
     assert train.count() == 80 and validation.first()["components"].size == 2
+
+
+def test_extraction_skips_empty_results(spark, tmp_path):
+    assets = views.assets(spark, "/root/testdata/sf0.001")
+    records = views.corrective(spark, "/root/testdata/sf0.001")
+    got = cmms.extract(assets, records, records, str(tmp_path))
+    assert set(got) == {"assets", "corrective_maintenance", "preventive_maintenance"}
+    got = cmms.extract(assets, records.limit(0), records, str(tmp_path / "b"))
+    assert set(got) == {"assets", "preventive_maintenance"}
+
+
+def test_report_text(spark, tmp_path):
+    path = str(tmp_path / "report")
+    sinks.write_report(spark.createDataFrame([("ks", 0.5), ("chi2", None)], "test string, value double"), path)
+    assert [r["value"] for r in spark.read.text(path).collect()] == ["chi2 | ", "ks | 0.5"]
+    sinks.write_json(spark.createDataFrame([(1, 0.5)], "fold int, f1 double"), path)
+    assert spark.read.json(path).first()["f1"] == 0.5
+
+
+def test_small_expressions(spark):
+    df = spark.createDataFrame([(-1, -2.0, "L"), (0, 2.0, "H")], "label int, x double, type string")
+    rows = df.withColumn("tool_wear_min", F.lit(1.0)).transform(physics.worn).select(
+        physics.cluster_anomaly(F.col("label")).alias("a"), physics.clip_low(F.col("x")).alias("c"), "tool_wear_min"
+    )
+    assert [tuple(r) for r in rows.collect()] == [(1, 0.0, 3.0), (0, 2.0, 6.0)]
+    shuffled = prep.shuffled(df, "label").orderBy("shuffle_key")
+    assert shuffled.count() == 2
