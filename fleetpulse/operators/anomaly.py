@@ -25,7 +25,7 @@ from fleetpulse.operators.neighbors import (
     knn,
     vector,
 )
-from fleetpulse.operators.ordering import quantiles
+from fleetpulse.operators.ordering import add_ordinal, quantiles
 from fleetpulse.session import written
 
 # Contamination levels the detectors are run with.
@@ -418,8 +418,6 @@ def smote(
     Returns ``features`` as doubles, ``label`` and ``synthetic`` (0/1). Each new
     row lies between a minority row and one of its ``k`` nearest minority rows.
     """
-    from fleetpulse.operators.ordering import add_ordinal
-
     doubles = [F.col(c).cast("double").alias(c) for c in features]
     originals = df.select(*doubles, F.col(label), F.lit(0).alias("synthetic"))
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import arrays
 from fleetpulse.operators import anomaly, ensemble, history, metrics, prep
+from fleetpulse.operators.ordering import add_ordinal
 from fleetpulse.schema import HISTORY
 from fleetpulse.session import written
 
@@ -266,6 +267,8 @@ def adaptive_cross_validate(
     round and fold, and the last settings. The number of rounds is bounded.
     """
     config, out = dict(config), None
+    # Every fold of every round reads the rows, so they are computed once.
+    df = written(df, "fold-rows")
     for attempt in range(max_rounds):
         result = written(cross_validated_auc(df, fold_col, folds, label, fit, config), "folds")
         line = result.select(F.lit(attempt).alias("round"), "*")
@@ -305,6 +308,8 @@ def select_time_steps(
     """Mean cross-validated F1 for every foldable number of time steps."""
     flat = F.array(*[F.col(c).cast("double") for c in features])
     width, out = len(features), None
+    df = written(df.select(fold_col, label, flat.alias("__flat")), "fold-rows")
+    flat = F.col("__flat")
     for t in arrays.foldable_steps(width, tuple(steps)):
         rows = df.select(fold_col, label, F.array(step_summary(flat, width, t)).alias("sequence"))
 
@@ -331,8 +336,6 @@ def permutation_importance(
     Every row gets one donor row (its neighbour in hash order), so a single join
     serves all features; the variants are scored and evaluated together.
     """
-    from fleetpulse.operators.ordering import add_ordinal
-
     rows = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features])
     total = rows.count()
     mixed = rows.withColumn("__h", prep.hash_order(key, seed))
@@ -472,7 +475,8 @@ def anomaly_cross_validate(
     seed: int = 42,
 ) -> DataFrame:
     """History table: one row per fold and model with training and validation metrics."""
-    folded = prep.stratified_folds(df, label, key, folds, seed)
+    rows = df.select(key, label, *features)
+    folded = written(prep.stratified_folds(rows, label, key, folds, seed), "fold-rows")
     out = None
     for fold in range(folds):
         scored = anomaly_fold(

@@ -21,14 +21,22 @@ MAX_BUCKETS = 4096
 BUCKET = "__bucket"
 
 
+def wall_micros(time: Column) -> Column:
+    """Microseconds of a zone-free time stamp, whatever the session's time zone is."""
+    seconds = F.unix_date(time.cast("date")).cast("bigint") * 86_400 + F.hour(time) * 3600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+
+
 def sort_value(df: DataFrame, name: str) -> Column:
     """A double that grows with the ordering column (numbers, dates, timestamps).
 
     Adding zero makes one value of 0.0 and -0.0, which bucketing would tell apart.
     """
     kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(name).cast("double")
+    if kind in ("timestamp_ntz", "date"):
+        return wall_micros(F.col(name).cast("timestamp_ntz")).cast("double")
     return F.col(name).cast("double") + F.lit(0.0)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import arrays, physics
 from fleetpulse.operators import prep
+from fleetpulse.operators.ordering import wall_micros
 from fleetpulse.plans.registry import SENSORS, query, sql_over
 from fleetpulse.schema import CONDITIONS, PHYSICS, TABULAR_FEATURES
 from fleetpulse.sources import views
@@ -295,7 +296,7 @@ def chart_series(spark: SparkSession, folder: str) -> DataFrame:
     )
     return scored.select(
         "udi",
-        F.unix_micros(F.col("event_time").cast("timestamp")).alias("event_us"),
+        wall_micros(F.col("event_time")).alias("event_us"),
         F.round("score", 6).alias("final_score"),
         F.explode(cells).alias("cell"),
     ).select("udi", "event_us", "cell.*", "final_score")

@@ -188,9 +188,9 @@ def lof(spark: SparkSession, folder: str) -> DataFrame:
 @query("lof_novelty")
 def lof_novelty(spark: SparkSession, folder: str) -> DataFrame:
     """Readings of one fold scored against the others."""
-    rows = _scaled(spark, folder)
-    fitted = anomaly.local_outlier_factor(rows.filter("udi % 5 <> 0"), _DETECTED, "udi", 0.01)
-    scored = fitted.score(rows.filter("udi % 5 = 0"), "udi", "score")
+    rows = prep.folds(_scaled(spark, folder), "udi", 5)
+    fitted = anomaly.local_outlier_factor(rows.filter("fold <> 0"), _DETECTED, "udi", 0.01)
+    scored = fitted.score(rows.filter("fold = 0"), "udi", "score")
     return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
 
 

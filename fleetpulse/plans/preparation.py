@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.operators import prep
+from fleetpulse.operators import prep, windows
 from fleetpulse.plans.registry import SENSORS, query, sql_over
 from fleetpulse.sources import views
 
@@ -98,15 +99,12 @@ def variance_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("pca20")
 def pca20(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled lag matrix reduced to 20 components, fitted on four folds and applied to the fifth."""
-    from pyspark.ml.functions import vector_to_array
-
-    from fleetpulse.operators import windows
-
     lagged = windows.lag_features(
         views.readings(spark, folder), SENSORS, ["machine_id"], ["event_time", "udi"]
     ).dropna()
     cols = SENSORS + [f"{c}_lag_{k}" for c in SENSORS for k in range(1, 6)]
-    train, validation = lagged.filter("udi % 5 <> 0"), lagged.filter("udi % 5 = 0")
+    lagged = prep.folds(lagged, "udi", 5)
+    train, validation = lagged.filter("fold <> 0"), lagged.filter("fold = 0")
     _, reduced = prep.scale_and_reduce(train, validation, cols, 20)
     parts = vector_to_array("components")
     return reduced.select("udi", *[parts[i].alias(f"pc{i + 1}") for i in range(20)])

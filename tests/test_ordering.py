@@ -109,3 +109,20 @@ def test_order_of_input_rows_does_not_matter(spark):
     a = windows.lag_features(few, ["x"], ["machine"], ["at", "id"], rows_per_group=30)
     b = windows.lag_features(many, ["x"], ["machine"], ["at", "id"], rows_per_group=30)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_zone_free_times_order_like_themselves(spark):
+    """A clock change in the session's zone must not disturb the order."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql(
+            "select timestamp_ntz'2024-03-10 00:00:00.000001' + make_dt_interval(0, 0, id * 10) as t, id from range(60)"
+        )
+        rows = df.select(ordering.sort_value(df, "t").alias("v"), "id").orderBy("id").collect()
+        gaps = {b["v"] - a["v"] for a, b in zip(rows, rows[1:])}
+        assert gaps == {600_000_000.0} and rows[0]["v"] % 10 == 1
+        dates = df.select(F.col("t").cast("date").alias("d"))
+        assert dates.select(ordering.sort_value(dates, "d")).first()[0] == rows[0]["v"] - 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
