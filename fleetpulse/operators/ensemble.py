@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Decision and alert cuts on the combined score.
 DECISION_CUT = 0.5
@@ -65,21 +66,11 @@ def f1_weights(
     tp, fp, fn = (F.count_if(c) for c in (hit & truth, hit & ~truth, ~hit & truth))
     f1 = F.coalesce(F.try_divide(2.0 * tp, 2 * tp + fp + fn), F.lit(0.0))
     per_model = scored.groupBy(*by, model).agg(f1.alias("f1"))
-    totals = per_model.groupBy(*by).agg(
-        F.sum("f1").alias("__sum"), F.count(F.lit(1)).alias("__models")
-    )
-    if by:
-        joined = per_model.join(totals, list(by))
-    else:
-        joined = (
-            per_model.withColumn("__one", F.lit(1))
-            .join(totals.withColumn("__one", F.lit(1)), "__one")
-            .drop("__one")
-        )
-    weight = F.when(F.col("__sum") == 0, F.lit(1.0) / F.col("__models")).otherwise(
-        F.try_divide(F.col("f1"), F.col("__sum"))
-    )
-    return joined.withColumn("weight", weight).drop("__sum", "__models")
+    # One row per model: a window over them is small whatever was scored.
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    total, count = F.sum("f1").over(group), F.count(F.lit(1)).over(group)
+    weight = F.when(total == 0, F.lit(1.0) / count).otherwise(F.try_divide(F.col("f1"), total))
+    return per_model.withColumn("weight", weight)
 
 
 def weight_map(weights: DataFrame, model: str = "model") -> dict[str, float]:

@@ -234,14 +234,14 @@ def evaluate(
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """All nine metrics per group: threshold metrics joined with curve metrics."""
+    """All nine metrics per group: threshold metrics and curve metrics, stacked and folded.
+
+    Each group has one row of either kind, so a maximum picks the value and no
+    join is needed.
+    """
     by = list(by)
-    flat = mcc(precision_recall(confusion(df, label, pred, by)))
+    flat = mcc(precision_recall(confusion(df, label, pred, by))).drop("tp", "fp", "fn", "tn")
     curves = curve_metrics(score_curve(df, label, score, by, rows_per_bucket), by)
-    wanted = ["precision", "recall", "f1", "accuracy", "loss", "mcc"]
-    if by:
-        joined = flat.join(curves, by)
-    else:
-        one = F.lit(1).alias("__one")
-        joined = flat.select("*", one).join(curves.select("*", one), "__one")
-    return joined.select(*by, *wanted, "roc_auc", "pr_auc", "average_precision")
+    wanted = ["precision", "recall", "f1", "accuracy", "loss", "mcc", "roc_auc", "pr_auc", "average_precision"]
+    both = flat.unionByName(curves, allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(m).alias(m) for m in wanted])

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetpulse.functions import arrays
 from fleetpulse.operators import anomaly, ensemble, history, metrics, prep
@@ -353,15 +354,11 @@ def permutation_importance(
     scored = score(model, long, "score").select("variant", label, "score")
     curve = metrics.score_curve(scored, label, "score", ["variant"])
     auc = metrics.roc_auc(curve, ["variant"])
-    base = auc.filter("variant = ''").select(F.lit(1).alias("one"), F.col("roc_auc").alias("base_auc"))
+    # One row per feature from here on.
+    base = F.max(F.when(F.col("variant") == "", F.col("roc_auc"))).over(Window.partitionBy(F.lit(0)))
     return (
-        auc.filter("variant <> ''")
-        .withColumn("one", F.lit(1))
-        .join(base, "one")
-        .select(
-            F.col("variant").alias("feature"),
-            (F.col("base_auc") - F.col("roc_auc")).alias("importance"),
-        )
+        auc.select(F.col("variant").alias("feature"), (base - F.col("roc_auc")).alias("importance"))
+        .filter("feature <> ''")
         .orderBy(F.desc("importance"), "feature")
     )
 
