@@ -33,8 +33,12 @@ CONTAMINATION_LEVELS = (0.005, 0.01, 0.02)
 
 
 def _upper_quantile(df: DataFrame, score: str, contamination: float) -> float:
-    """Score that ``contamination`` of the training rows lie above (exact, interpolated)."""
-    row = quantiles(df.select(score), [score], {"q": 1.0 - contamination}).first()
+    """Score that ``contamination`` of the training rows lie above (exact, interpolated).
+
+    The quantile takes several passes, so the scores are computed and stored once.
+    """
+    scores = written(df.select(score), "scores")
+    row = quantiles(scores, [score], {"q": 1.0 - contamination}).first()
     return float(row["q"]) if row else 0.0
 
 
@@ -82,7 +86,7 @@ def subsamples(
 
 
 def _grow_tree(rows: np.ndarray, seed: int, limit: int) -> list[tuple]:
-    """Random splits of one subsample: (node, feature, cut, left, right, path length at a leaf)."""
+    """Random splits of one subsample: (node, depth, feature, cut, left, right, path length at a leaf)."""
     rng = np.random.default_rng(seed)
     nodes: list[list] = []
     stack = [(np.arange(len(rows)), 0, -1, 0)]
@@ -90,28 +94,38 @@ def _grow_tree(rows: np.ndarray, seed: int, limit: int) -> list[tuple]:
         index, depth, parent, side = stack.pop()
         at = len(nodes)
         if parent >= 0:
-            nodes[parent][3 + side] = at
+            nodes[parent][4 + side] = at
         part = rows[index]
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(index) <= 1 or len(usable) == 0:
-            nodes.append([at, -1, 0.0, -1, -1, depth + _mean_path(len(index))])
+            nodes.append([at, depth, -1, 0.0, -1, -1, depth + _mean_path(len(index))])
             continue
         feature = int(rng.choice(usable))
         cut = float(rng.uniform(low[feature], high[feature]))
         left = part[:, feature] <= cut
-        nodes.append([at, feature, cut, -1, -1, 0.0])
+        nodes.append([at, depth, feature, cut, -1, -1, 0.0])
         stack.append((index[left], depth + 1, at, 0))
         stack.append((index[~left], depth + 1, at, 1))
     return [tuple(n) for n in nodes]
 
 
+def _packed(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Arrays of one tree for scoring: feature, cut, children, path length, number of levels."""
+    leaf = nodes["feature"].to_numpy() < 0
+    own = nodes["node"].to_numpy(dtype="int64")
+    children = np.where(leaf[:, None], own[:, None], nodes[["left", "right"]].to_numpy(dtype="int64"))
+    feature = np.where(leaf, 0, nodes["feature"].to_numpy(dtype="int64"))
+    cut = np.where(leaf, np.inf, nodes["cut"].to_numpy())
+    return feature, cut, children.ravel(), nodes["length"].to_numpy(), int(nodes["depth"].max())
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """Fitted trees (at most trees x 511 nodes) and the score offset."""
 
     features: tuple[str, ...]
-    trees: tuple[tuple[np.ndarray, ...], ...]
+    trees: tuple[tuple, ...]
     rows: int
     offset: float = 0.0
 
@@ -121,16 +135,16 @@ class IsolationForest:
         @F.pandas_udf("double")
         def unusual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(self.features)))
-                depth = np.zeros(len(x))
-                for feature, cut, left, right, length in trees:
-                    node = np.zeros(len(x), dtype="int64")
-                    inner = np.flatnonzero(feature[node] >= 0)
-                    while len(inner):
-                        n = node[inner]
-                        down = x[inner, feature[n]] <= cut[n]
-                        node[inner] = np.where(down, left[n], right[n])
-                        inner = inner[feature[node[inner]] >= 0]
+                n = len(batch)
+                x = np.stack(batch.to_numpy()) if n else np.zeros((0, len(self.features)))
+                columns, row = np.ascontiguousarray(x.T).ravel(), np.arange(n)
+                depth = np.zeros(n)
+                for feature, cut, children, length, levels in trees:
+                    node = np.zeros(n, dtype="int64")
+                    # Leaves lead to themselves, so all rows take the same number of steps.
+                    for _ in range(levels):
+                        right = columns[feature[node] * n + row] > cut[node]
+                        node = children[2 * node + right]
                     depth += length[node]
                 yield pd.Series(np.exp2(-depth / (len(trees) * scale)))
 
@@ -158,16 +172,13 @@ def isolation_forest(
         tree = int(part["tree"].iloc[0])
         ordered = part.sort_values(key)[list(features)].to_numpy(dtype="float64")
         grown = _grow_tree(ordered, seed * 1_000_003 + tree, limit)
-        out = pd.DataFrame(grown, columns=["node", "feature", "cut", "left", "right", "length"])
+        out = pd.DataFrame(grown, columns=["node", "depth", "feature", "cut", "left", "right", "length"])
         out.insert(0, "tree", tree)
         return out
 
-    schema = "tree int, node int, feature int, cut double, left int, right int, length double"
+    schema = "tree int, node int, depth int, feature int, cut double, left int, right int, length double"
     nodes = sample.groupBy("tree").applyInPandas(grow, schema).toPandas().sort_values(["tree", "node"])
-    grown = tuple(
-        tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))
-        for _, part in nodes.groupby("tree")
-    )
+    grown = tuple(_packed(part) for _, part in nodes.groupby("tree"))
     total = min(rows, count)
     bare = IsolationForest(tuple(features), grown, total)
     offset = _upper_quantile(bare.score(df, "__s"), "__s", contamination)

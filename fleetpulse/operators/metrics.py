@@ -1,7 +1,8 @@
 """Classifier metrics over (label, prediction, score) tables.
 
 Threshold metrics are conditional sums in one aggregation; curve metrics run on
-the running totals over distinct scores and handle ties exactly.
+the running totals over distinct scores and handle ties exactly. They make
+several passes over the table, so store the scores of an expensive model first.
 """
 
 from __future__ import annotations

@@ -249,6 +249,8 @@ def cross_validated_auc(df: DataFrame, fold_col: str, folds: int, label: str, fi
         apply = fit(df.filter(F.col(fold_col) != fold), config)
         part = apply(df.filter(F.col(fold_col) == fold), "score").select(fold_col, label, "score")
         scored = part if scored is None else scored.unionByName(part)
+    # Evaluation makes several passes, so the models score every row once.
+    scored = written(scored, "fold-scores")
     decided = scored.withColumn("pred", (F.col("score") > 0.5).cast("int"))
     return metrics.evaluate(decided, label, "pred", "score", [fold_col])
 
@@ -351,7 +353,7 @@ def permutation_importance(
         for v in ["", *features]
     ]
     long = joined.select(label, F.explode(F.array(*variants)).alias("v")).select(label, "v.*")
-    scored = score(model, long, "score").select("variant", label, "score")
+    scored = written(score(model, long, "score").select("variant", label, "score"), "variant-scores")
     curve = metrics.score_curve(scored, label, "score", ["variant"])
     auc = metrics.roc_auc(curve, ["variant"])
     # One row per feature from here on.

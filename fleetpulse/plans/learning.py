@@ -9,7 +9,7 @@ from fleetpulse.functions import physics
 from fleetpulse.operators import anomaly, metrics, models, prep, windows
 from fleetpulse.plans.registry import query, sql_over
 from fleetpulse.schema import SEQUENCE_FEATURES, TABULAR_FEATURES
-from fleetpulse.session import work_path
+from fleetpulse.session import work_path, written
 from fleetpulse.sources import views
 
 _LABEL = "machine_failure"
@@ -71,7 +71,7 @@ def soft_voting(spark: SparkSession, folder: str) -> DataFrame:
             for name, c in (("forest", "forest"), ("boosted", "boosted"), ("vote", "final_score"))
         ]
     )
-    long = voted.select(_LABEL, F.explode(cells).alias("c")).select(_LABEL, "c.*")
+    long = written(voted.select(_LABEL, F.explode(cells).alias("c")).select(_LABEL, "c.*"), "votes")
     decided = long.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
     return metrics.evaluate(decided, _LABEL, "pred", "score", ["model"])
 
