@@ -18,9 +18,9 @@ def mean_of(scores: Sequence[Column], weights: Sequence[float] | None = None) ->
     weights = [1.0] * len(scores) if weights is None else [float(w) for w in weights]
     total, weight = F.lit(0.0), F.lit(0.0)
     for score, w in zip(scores, weights):
-        valid = score.isNotNull() & ~F.isnan(score.cast("double"))
-        total = total + F.when(valid, score.cast("double") * F.lit(w)).otherwise(F.lit(0.0))
-        weight = weight + F.when(valid, F.lit(w)).otherwise(F.lit(0.0))
+        known = F.nanvl(score.cast("double"), F.lit(None).cast("double"))
+        total = total + F.coalesce(known, F.lit(0.0)) * F.lit(w)
+        weight = weight + F.when(known.isNull(), F.lit(0.0)).otherwise(F.lit(w))
     return F.try_divide(total, weight)
 
 
@@ -38,13 +38,19 @@ def mean_score(
 
 
 def alerts(df: DataFrame, time: str = "timestamp", cut: float = ALERT_CUT) -> DataFrame:
-    """Readings whose combined score reaches the alert cut, in alert form."""
-    return df.filter(F.col("final_score") >= cut).select(
+    """Readings whose combined score reaches the alert cut, in alert form.
+
+    Rows are picked by ``explode``: a filter would be pushed below the score's
+    definition and the whole chain of features computed a second time in it.
+    """
+    alert = F.struct(
         "machine_id",
         "udi",
         F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("predicted_failure_date"),
         F.col("final_score").alias("risk_score"),
     )
+    picked = F.explode(F.when(F.col("final_score") >= cut, F.array(alert)))
+    return df.select(picked.alias("alert")).select("alert.*")
 
 
 def long_scores(df: DataFrame, key: Sequence[str], models: Mapping[str, str]) -> DataFrame:
