@@ -120,10 +120,14 @@ def stratified_folds(
 def stratified_split(
     df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows with the same class shares."""
-    folded = stratified_folds(df, label, key, k=1000, seed=seed)
-    test = F.col("fold") < int(round(test_share * 1000))
-    return folded.filter(~test).drop("fold"), folded.filter(test).drop("fold")
+    """Train and test rows with the same class shares, in hash order inside each class."""
+    limit = F.lit(0)
+    for value, n in class_counts(df, label).items():
+        limit = F.when(F.col(label) == value, F.lit(round(test_share * n))).otherwise(limit)
+    mixed = df.withColumn("__order", hash_order(key, seed))
+    numbered = add_ordinal(mixed, ["__order", key], by=[label], name="__place")
+    test = F.col("__place") < limit
+    return tuple(numbered.filter(t).drop("__place", "__order") for t in (~test, test))
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:

@@ -35,8 +35,8 @@ def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
     sql_over(
         "labelled",
         """with c as (select machine_failure, count(*) as n from labelled group by 1)
-        select machine_failure, part, case part when 'test' then 200 * (n // 1000) + least(n % 1000, 200)
-          else n - 200 * (n // 1000) - least(n % 1000, 200) end as n
+        select machine_failure, part, case part when 'test' then cast(round(n * 0.2) as bigint)
+          else n - cast(round(n * 0.2) as bigint) end as n
         from c, (values ('train'), ('test')) p(part)""",
     ),
 )

@@ -186,7 +186,8 @@ def test_folds_and_splits(spark):
     counts = {(r["y"], r["fold"]): r["count"] for r in folded.groupBy("y", "fold").count().collect()}
     assert all(n == (20 if y else 180) for (y, _), n in counts.items()) and len(counts) == 10
     train, test = prep.stratified_split(df, "y", "id", 0.2)
-    assert train.count() + test.count() == 1000 and train.join(test, "id").isEmpty()
+    assert test.count() == 200 and test.filter("y = 1").count() == 20
+    assert train.count() == 800 and train.join(test, "id").isEmpty()
     plain = prep.stratified_folds(df, "y", "id", 5, seed=None)
     assert plain.filter("y = 1 and id = 50").first()["fold"] == 0
     assert prep.folds(df, "id", 5).select("fold").distinct().count() == 5
