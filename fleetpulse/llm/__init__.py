@@ -1,13 +1,16 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import chat, exact_dedup
+from fleetpulse.llm import chat, exact_dedup, mixing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_mixing_sources": mixing.op2_mixing_sources,
+    "op3_sharding": sharding.op3_sharding,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_mixing_sources": mixing.SQL,
     "op7_chat_formatting": chat.SQL,
 }
