@@ -1,11 +1,12 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import chat, exact_dedup, mixing, sharding
+from fleetpulse.llm import bpe, chat, exact_dedup, mixing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_sharding": sharding.op3_sharding,
+    "op5_bpe": bpe.op5_bpe,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
