@@ -1,17 +1,20 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import bpe, chat, exact_dedup, mixing, sharding
+from fleetpulse.llm import bpe, chat, exact_dedup, langid, mixing, sharding, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_sharding": sharding.op3_sharding,
+    "op4_language_id": langid.op4_language_id,
     "op5_bpe": bpe.op5_bpe,
+    "op6_warc": warc.op6_warc,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op2_mixing_sources": mixing.SQL,
+    "op6_warc": warc.SQL,
     "op7_chat_formatting": chat.SQL,
 }
