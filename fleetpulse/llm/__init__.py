@@ -1,6 +1,6 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import bpe, chat, exact_dedup, langid, mixing, sharding, warc
+from fleetpulse.llm import bpe, chat, exact_dedup, langid, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_warc": warc.op6_warc,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 SQL = {
