@@ -1,6 +1,6 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import ann, bpe, chat, exact_dedup, langid, mixing, sharding, simhash, warc
+from fleetpulse.llm import ann, bpe, chat, exact_dedup, langid, mixing, passages, sharding, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_simhash": simhash.op8_simhash,
+    "op10_passages": passages.op10_passages,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
 }
 
