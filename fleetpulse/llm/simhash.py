@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import attach, components, null_last, small, table
@@ -35,6 +35,10 @@ GROUP_ROWS = 64
 CHUNK_ROWS = 2048
 #: Reference fingerprints of the pivot table: fixed, from a 64-bit mixing sequence.
 PIVOTS = 16
+#: Radius of the first, forest-shaped round of the verified search.
+FOREST_RADIUS = 6
+#: At a wide radius groups may be larger, as every choice of blocks costs a copy of the rows.
+WIDE_GROUP_ROWS = 1024
 PIECE = 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -116,22 +120,29 @@ def majorities(texts: list[str | None], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``fp`` (the 64 bits as a long) of every row. A null, empty or blank text has fingerprint 0."""
+    """key, ``th`` (a hash of the text) and ``fp`` (the 64 bits as a long) of every row.
+
+    A null, empty or blank text has fingerprint 0.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             fp = majorities(list(part["text"]), words).view(np.int64)
-            yield pd.DataFrame({"key": part["key"].array, "fp": fp})
+            yield pd.DataFrame({"key": part["key"].array, "th": part["th"], "fp": fp})
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), text_tag(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"key {kind}, th long, fp long").withColumnRenamed("key", key)
+
 
+def text_tag(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-def block_masks(rows: int, radius: int) -> list[int]:
+
+def block_masks(rows: int, radius: int, group_rows: int = GROUP_ROWS, most: int = 6) -> list[int]:
     """Masks over 64 bits, one for each choice of k of (radius + k) blocks."""
     k = 1
-    while rows / 2 ** (64 * k / (radius + k)) > GROUP_ROWS and k < 6:
+    while rows / 2 ** (64 * k / (radius + k)) > group_rows and k < most:
         k += 1
     edges = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
@@ -150,9 +161,8 @@ def near(a: np.ndarray, pa: np.ndarray, b: np.ndarray, pb: np.ndarray, radius: i
     return left[np.bitwise_count(a[left] ^ b[left]) <= radius]
 
 
-def grouped(fps: DataFrame, radius: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+def grouped(fps: DataFrame, masks: list[int], extra: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Rows (fp, extra) once for each block table, tagged with their group; large groups in tiles."""
-    masks = block_masks(fps.count(), radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
     dealt = fps.select("fp", *extra, F.explode(keys).alias("g")).select("fp", *extra, "g.t", "g.k")
     large = written(dealt.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CHUNK_ROWS), "simhash-large")
@@ -217,7 +227,7 @@ def forest(x: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (src, dst) that connect distinct fingerprints ``fp`` exactly as all pairs within ``radius`` would."""
-    rows, by = grouped(fps, radius)
+    rows, by = grouped(fps, block_masks(fps.count(), radius))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs = pivots()
@@ -249,14 +259,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def label_fingerprints(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Facts (fp, n, component_id) from rows (key, fp) and edges between fingerprints."""
-    nodes = marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(*null_last(key))).alias("least"))
+    """Facts (fp, n, head) from rows (key, th, fp) and edges between fingerprints; head: value and th of the first row."""
+    nodes = marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(*null_last(key), "th")).alias("least"))
     joined = written(components(edges, "simhash-stars"), "simhash-labels").withColumnRenamed("node", "fp")
     labelled = written(nodes.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-nodes")
     heads = labelled.groupBy("label").agg(F.count("*").alias("fps"), F.min("least").alias("head"))
     heads = written(heads, "simhash-heads")
     return written(
-        attach(labelled, heads, "label", "fps", ["fp"]).select("fp", "n", F.col("head.value").alias("component_id")), "simhash-facts"
+        attach(labelled, heads, "label", "fps", ["fp"]).select("fp", "n", "head"), "simhash-facts"
     )
 
 
@@ -272,9 +282,102 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, k
     edges = written(links(fps, radius), "simhash-edges")
     facts = label_fingerprints(marked, edges, key)
     return attach(marked, facts, "fp", "n", [key]).select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.value").alias("component_id")
     )
 
 
+def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
+    """Pairs of fingerprints within a wide radius that have different labels: the closest pair of each two labels.
+
+    Random fingerprints are 32 bits apart on average, so at a wide radius the
+    distances to references hardly discard anything; whole blocks of a group are
+    compared at once, by the first reference and then by distance.
+    """
+    rows, by = grouped(labelled, block_masks(labelled.count(), radius, WIDE_GROUP_ROWS, 2), ("label",))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ref = pivots(1)[0]
+        for frame, starts in runs(parts, by):
+            x, label = frame["fp"].to_numpy().view(np.uint64), frame["label"].to_numpy()
+            tabled = np.bitwise_count(x ^ ref).astype(np.int8)
+            found = []
+            for a, b in zip(starts, np.append(starts[1:], len(x))):
+                for at in range(a, b, 256):
+                    rest, own = slice(at, b), slice(at, min(at + 256, b))
+                    close = np.abs(tabled[own, None] - tabled[None, rest]) <= radius
+                    close &= np.bitwise_count(x[own, None] ^ x[None, rest]) <= radius
+                    close &= label[own, None] != label[None, rest]
+                    i, j = np.nonzero(close)
+                    if len(i):
+                        found.append(np.stack([i + at, j + at]))
+            if found:
+                i, j = np.concatenate(found, axis=1)
+                flip = label[i] > label[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                made = pd.DataFrame({"la": label[i], "lb": label[j], "d": np.bitwise_count(x[i] ^ x[j]).astype(np.int32)})
+                made["a"], made["b"] = x[i].view(np.int64), x[j].view(np.int64)
+                yield made.sort_values(["la", "lb", "d", "a", "b"]).drop_duplicates(["la", "lb"])
+
+    pairs = rows.mapInPandas(run, "la long, lb long, d int, a long, b long")
+    return pairs.groupBy("la", "lb").agg(F.min(F.struct("d", "a", "b")).alias("p")).select(F.col("p.a").alias("src"), F.col("p.b").alias("dst"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(fp, shingles): the different shingle hashes of one text for each wanted (key, th, fp)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in part["text"]]
+            yield pd.DataFrame({"fp": part["fp"], "shingles": sets})
+
+    rows = docs.select(F.col(key).alias("key"), text_tag(text).alias("th"), F.col(text).alias("text"))
+    sized = small(wanted.withColumnRenamed(key, "key"), wanted.count() * 64)
+    chosen = rows.alias("x").join(sized.alias("y"), F.expr("x.key <=> y.key AND x.th = y.th")).select("y.fp", "x.text")
+    return chosen.mapInPandas(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """Those of the pairs (src, dst) of fingerprints whose texts have the Jaccard similarity, by their shingle sets. Stored.
+
+    ``nodes`` (fp, least) names the row that stands for a fingerprint.
+    """
+    ends = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
+    wanted = written(nodes.join(ends, "fp").select(F.col("least.value").alias(key), "least.th", "fp"), "near-wanted")
+    sets = written(shingle_sets(docs, wanted, words, key, text), "near-shingles")
+    degree = written(pairs.groupBy("src").agg(F.count("*").alias("n")), "near-degrees")
+    left = sets.select(F.col("fp").alias("src"), F.col("shingles").alias("sa")).join(degree, "src")
+    right = sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    compared = attach(pairs, written(left, "near-left"), "src", "n", ["dst"]).join(right, "dst")
+    alike = compared.where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+    return written(alike.select("src", "dst"), "near-verified")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies, all columns kept: of each group the row with the smallest key stays (null keys last).
+
+    Two texts are near copies if their fingerprints agree in ``similarity`` of their
+    bits and their shingle sets have that Jaccard similarity. Close fingerprints are
+    linked by a spanning forest first; then the closest pair of every two groups
+    that are still apart is looked at, up to the full radius. All links are
+    verified. Rows equal in key and text are one document and stay or go together.
+    """
+    marked = written(fingerprints(docs, words, key, text), "near-marked")
+    nodes = marked.groupBy("fp").agg(F.min(F.struct(*null_last(key), "th")).alias("least"))
+    nodes = written(nodes, "near-nodes")
+    forest_edges = written(links(nodes.select("fp"), FOREST_RADIUS), "near-forest")
+    edges = verified(forest_edges, nodes, docs, words, similarity, key, text)
+    labels = components(edges, "near-stars").withColumnRenamed("node", "fp")
+    labelled = written(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-labels")
+    pairs = written(wide_pairs(labelled, int(64 * (1 - similarity))), "near-pairs")
+    edges = edges.unionByName(verified(pairs, nodes, docs, words, similarity, key, text))
+    facts = label_fingerprints(marked, edges, key)
+    leaving = attach(marked, facts, "fp", "n", [key, "th"]).where(f"NOT (`{key}` <=> head.value AND th = head.th)")
+    leaving = leaving.select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(key).alias("_id"), text_tag(text).alias("_tag"))
+    kept = rows.join(leaving, F.expr("_id <=> _key AND _tag = _th"), "left_anti")
+    return kept.select("whole.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
