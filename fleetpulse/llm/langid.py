@@ -95,23 +95,31 @@ class Model:
         return scaled(flags) @ self.weights + self.bias
 
 
-def train(flags: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström features over evenly chosen landmarks, then one-versus-rest kernel ridge regression."""
+def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nyström features over evenly chosen landmarks, then one-versus-rest kernel ridge regression.
+
+    ``packed`` has the presence flags of a text in each row, eight to a byte; they
+    are unpacked for a block of texts at a time.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
-    x = scaled(flags)
     marks, seen = [], dict.fromkeys(languages, 0)
     each = max(1, landmarks // len(languages))
     for i, label in enumerate(labels):
         if seen[label] < each:
             seen[label] += 1
             marks.append(i)
-    z = x[marks]
+
+    def rows(chosen) -> np.ndarray:
+        return scaled(np.unpackbits(packed[chosen], axis=1, count=WIDTH))
+
+    z = rows(marks)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     kept = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    features = (x @ z.T).astype(np.float64) @ root
+    blocks = [rows(slice(at, at + 256)) @ z.T for at in range(0, len(packed), 256)]
+    features = np.concatenate(blocks).astype(np.float64) @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = np.array([1.0 / labels.count(c) for c in languages])[[languages.index(c) for c in labels]]
     weight /= weight.sum()
@@ -131,7 +139,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "o
     known = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(order).alias("order"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_rows).collect()}
     if not counts:
-        return train(np.zeros((0, WIDTH), np.uint8), [])
+        return train(np.zeros((0, 0), np.uint8), [])
     each = max(1, train_rows // len(counts))
     # a little more than needed by a threshold on the hash, then exactly that many
     share = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
@@ -149,8 +157,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "o
 
     made = chosen.mapInPandas(flags, "lang string, nth int, flags binary").collect()
     made.sort(key=lambda r: (r["nth"], r["lang"]))
-    packed = np.frombuffer(b"".join(bytes(r["flags"]) for r in made), np.uint8).reshape(len(made), -1)
-    return train(np.unpackbits(packed, axis=1, count=WIDTH) if made else np.zeros((0, WIDTH), np.uint8), [r["lang"] for r in made])
+    packed = np.frombuffer(b"".join(bytes(r["flags"]) for r in made), np.uint8).reshape(len(made), -1 if made else 0)
+    return train(packed, [r["lang"] for r in made])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
