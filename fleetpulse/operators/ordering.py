@@ -116,17 +116,30 @@ def bucketed(
     repeated = sorted({a for a, b in zip(found, found[1:]) if a == b})
     cuts = sorted({*found, *[math.nextafter(v, math.inf) for v in repeated]})
     placed = with_buckets(keyed, {"__sort": cuts}).withColumnRenamed(f"__sort{BUCKET}", BUCKET)
+    if cuts:
+        # A NULL has no place among the cuts; like in a window it comes first.
+        placed = placed.withColumn(BUCKET, F.when(F.col("__sort").isNull(), F.lit(-1.0)).otherwise(F.col(BUCKET)))
     if not repeated or len(order) < 2:
         return placed.drop("__sort"), bool(cuts)
     tied = F.col("__sort").isin(repeated)
     second = placed.withColumn("__next", sort_value(df, order[1]))
     some = second if among is None else second.filter(among)
     inner = cut_points(some.filter(tied), {"__next": F.col("__next")}, rows_per_bucket, max_buckets)
-    part = F.when(tied, F.col(f"__next{BUCKET}") / F.lit(len(inner["__next"]) + 2.0)).otherwise(F.lit(0.0))
+    step = F.when(F.col("__next").isNull(), F.lit(0.0)).otherwise(F.col(f"__next{BUCKET}") + 1)
+    part = F.when(tied, step / F.lit(len(inner["__next"]) + 3.0)).otherwise(F.lit(0.0))
     out = with_buckets(second, inner).withColumn(BUCKET, F.col(BUCKET) + part)
     return out.drop("__sort", "__next", f"__next{BUCKET}"), True
 
 
+def join_blocks(rows: DataFrame, totals: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Inner join on the block columns in which NULL equals NULL, so that no row is lost."""
+    renamed = totals.withColumnsRenamed({c: f"__right_{c}" for c in block})
+    same = F.lit(True)
+    for c in block:
+        same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+    return rows.join(renamed, same).drop(*[f"__right_{c}" for c in block])
+
+
 def add_ordinal(
     df: DataFrame,
     order: str | Sequence[str],
@@ -152,8 +165,7 @@ def add_ordinal(
         .select(*block, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
     )
     return (
-        placed.withColumn("__within", within)
-        .join(offsets, block)
+        join_blocks(placed.withColumn("__within", within), offsets, block)
         .withColumn(name, (F.col("__within") + F.col("__before")).cast("bigint"))
         .select(*df.columns, name)
     )
@@ -233,7 +245,7 @@ def running_totals(
         )
     )
     return (
-        steps_run.join(offsets, block)
+        join_blocks(steps_run, offsets, block)
         .withColumns({f"cum_{x}": F.col(f"cum_{x}") + F.col(f"__off_{x}") for x in totals})
         .drop(BUCKET, *[f"__off_{x}" for x in totals])
     )

@@ -126,3 +126,28 @@ def test_zone_free_times_order_like_themselves(spark):
         assert dates.select(ordering.sort_value(dates, "d")).first()[0] == rows[0]["v"] - 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def _with_nulls(spark):
+    rows = [(None if i % 4 == 0 else i % 3, None if i % 5 == 0 else float(i % 20), i) for i in range(200)]
+    rows += [(1, float("nan"), 500), (None, float("nan"), 501), (2, -0.0, 502), (2, 0.0, 503)]
+    return spark.createDataFrame(rows, "grp int, at double, udi long")
+
+
+@pytest.mark.parametrize("by", [[], ["grp"]])
+def test_ordinals_keep_nulls_at_any_bucket_size(spark, by):
+    df = _with_nulls(spark)
+    one = {r.udi: r.ordinal for r in ordering.add_ordinal(df, ["at", "udi"], by).collect()}
+    for size in (10, 40):
+        many = {r.udi: r.ordinal for r in ordering.add_ordinal(df, ["at", "udi"], by, rows_per_bucket=size).collect()}
+        assert many == one and len(one) == 204
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_keep_null_groups_and_values(spark, descending):
+    df = _with_nulls(spark)
+    found = []
+    for size in (10, 1_000_000):
+        run = ordering.running_totals(df, "at", {"n": F.count(F.lit(1))}, ["grp"], descending, rows_per_bucket=size)
+        found.append(sorted((str(r.grp), str(r["at"]), r.n, r.cum_n, r.all_n) for r in run.collect()))
+    assert found[0] == found[1] and sum(x[2] for x in found[0]) == 204
