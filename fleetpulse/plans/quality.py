@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions import physics
 from fleetpulse.operators import prep, validate
 from fleetpulse.plans.registry import SENSORS, query, sql_over
-from fleetpulse.schema import SENSOR, create_tables, external
+from fleetpulse.schema import SENSOR, TABLES, external, private_database
 from fleetpulse.session import work_path
 from fleetpulse.sources import readers, sinks, views
 
@@ -244,10 +244,18 @@ def load_tables(spark: SparkSession, folder: str) -> DataFrame:
         sinks.write_csv(external(part.select(*columns)), path)
         loaded[name] = readers.read_readings_csv(spark, path)
     loaded["combined_data"] = loaded["processed_data"].unionByName(loaded["simulated_data"])
+    database = private_database(spark, TABLES)
     out = None
     for name, rows in loaded.items():
-        sinks.replace_table(rows, name, options={"path": work_path(spark, f"table-{name}")})
-        counted = readers.read_table(spark, name).agg(
+        # into the declared columns; derived ones that were not computed are NULL
+        typed = rows.select(
+            *[
+                (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in TABLES[name].fields
+            ]
+        )
+        sinks.fill_table(typed, f"{database}.{name}")
+        counted = readers.read_table(spark, f"{database}.{name}").agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.sum("machine_failure").alias("n_failures"),
             F.round(F.avg("torque_nm"), 6).alias("mean_torque"),
@@ -267,13 +275,13 @@ def load_tables(spark: SparkSession, folder: str) -> DataFrame:
 )
 def typed_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Create the typed reading table when it is absent, then load it."""
-    create_tables(spark, {"sensor_readings": SENSOR})
+    database = private_database(spark, TABLES)
     rows = views.labelled_readings(spark, folder).withColumn(
         "product_id", physics.product_id(F.col("type"), F.col("udi") % 100000)
     )
     typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in SENSOR.fields])
-    sinks.replace_table(typed, "sensor_readings", options={"path": work_path(spark, "sensor_readings")})
-    return validate.shape(readers.read_query(spark, "select * from sensor_readings"), "sensor_readings")
+    sinks.fill_table(typed, f"{database}.sensor_readings")
+    return validate.shape(readers.read_query(spark, f"select * from {database}.sensor_readings"), "sensor_readings")
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from fleetpulse.session import work_path
+
 # External (CSV / JSON) column names and their canonical names.
 COLUMN_ALIASES = {
     "UDI": "udi",
@@ -174,15 +176,32 @@ TABLES = {
 }
 
 
-def create_tables(spark: SparkSession, tables: dict[str, T.StructType] | None = None) -> list[str]:
-    """Create the typed tables that do not exist yet; returns their names."""
+def create_tables(
+    spark: SparkSession, tables: dict[str, T.StructType] | None = None, database: str | None = None
+) -> list[str]:
+    """Create the typed tables that do not exist yet; returns their names.
+
+    A table that exists with other columns is an error.
+    """
     tables = TABLES if tables is None else tables
     for name, schema in tables.items():
+        whole = f"{database}.{name}" if database else name
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {whole} ({columns}) USING parquet")
+        if spark.table(whole).columns != schema.fieldNames():
+            raise ValueError(f"table {whole} exists with other columns")
     return list(tables)
 
 
+def private_database(spark: SparkSession, tables: dict[str, T.StructType]) -> str:
+    """A new database below the shared work folder with the typed tables; the caller's tables are not touched."""
+    path = work_path(spark, "database")
+    name = "fleetpulse_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    create_tables(spark, tables, name)
+    return name
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Rename external column names to canonical ones; other columns are kept."""
     return df.withColumnsRenamed(COLUMN_ALIASES)

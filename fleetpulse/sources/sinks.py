@@ -39,6 +39,14 @@ def replace_table(
         ).save()
 
 
+def fill_table(df: DataFrame, name: str) -> None:
+    """Replace the rows of an existing table whose declared columns stay; a different set of columns is an error."""
+    declared = df.sparkSession.table(name).columns
+    if sorted(declared) != sorted(df.columns):
+        raise ValueError(f"{name} has other columns: {sorted(set(declared) ^ set(df.columns))}")
+    df.select(*declared).write.mode("overwrite").insertInto(name)
+
+
 def append_table(
     df: DataFrame, name: str, url: str | None = None, options: Mapping[str, str] | None = None
 ) -> None:
