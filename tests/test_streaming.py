@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions import physics
 from fleetpulse.operators import cmms, ensemble, models, windows
 from fleetpulse.schema import COLUMN_ALIASES, SENSORS, SEQUENCE_FEATURES, TABULAR_FEATURES
+from fleetpulse.plans import streams
 from fleetpulse.sources import readers, sinks, views
 from fleetpulse.streaming import scoring
 
@@ -214,3 +215,67 @@ def test_alert_rows(spark):
 def test_messages_have_one_value_column(spark):
     out = sinks.as_messages(spark.createDataFrame([(1, None)], "a int, b string")).first()["value"]
     assert json.loads(out) == {"a": 1, "b": None}
+
+
+@pytest.mark.parametrize("files", [1, 8, 32])
+def test_stream_sequences_do_not_depend_on_files(spark, tmp_path, files):
+    folder = "/root/testdata/sf0.001"
+    source = streams.messages(spark, folder, spoil=False, files=files)
+    rows = scoring.with_sequences(readers.stream_json_files(spark, source, files_per_batch=files))
+    running = (
+        rows.filter("sequence is not null").select("udi", "sequence").writeStream.format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert len([p for p in running.recentProgress if p["numInputRows"]]) >= 3
+    got = {r.udi: r.sequence for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    table = views.labelled_readings(spark, folder)
+    want = {r.udi: r.sequence for r in windows.sequences(table, SEQUENCE_FEATURES, ["machine_id"], ["event_time", "udi"]).collect()}
+    assert set(got) == {u for u, s in want.items() if s is not None and len(s) == 5}
+    assert all(np.allclose(np.array(got[u], float), np.array(want[u], float)) for u in got)
+
+
+def _message(udi, machine=None, product=None, torque=40.0):
+    body = {"UDI": udi, "Product ID": product, "Type": "L", "Air temperature [K]": 300.0, "Process temperature [K]": 310.0,
+            "Rotational speed [rpm]": 1500, "Torque [Nm]": torque, "Tool wear [min]": 5, "machine_id": machine,
+            "event_time": f"2024-01-01T00:00:{udi % 60:02d}.000000Z"}
+    return json.dumps({k: v for k, v in body.items() if v is not None})
+
+
+def _stream(spark, tmp_path, lines, **options):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n")
+    raw = readers.stream_json_files(spark, str(tmp_path / "in"))
+    return raw, options
+
+
+def test_messages_without_machine_have_their_own_buffer(spark, tmp_path):
+    lines = [_message(i, machine=0) for i in range(4)] + [_message(10 + i, product="P1") for i in range(4)] + [_message(30, machine=0)]
+    raw, _ = _stream(spark, tmp_path, lines)
+    running = (
+        scoring.with_sequences(raw).filter("sequence is not null").select("udi").writeStream.format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert [r.udi for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [30]
+
+
+def test_dedupe_keeps_rejected_messages(spark, tmp_path):
+    lines = [_message(1, machine=1)] * 3 + ["not json %d" % i for i in range(5)]
+    raw, _ = _stream(spark, tmp_path, lines)
+    scoring.run(raw, {"rule": scoring.expression_scorer("rule", lambda: F.lit(0.9))}, str(tmp_path / "out"), str(tmp_path / "state"),
+                dedupe="1 hour").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "out/scored")).count() == 1
+
+
+def test_a_repeated_batch_delivers_no_alert_twice(spark, tmp_path):
+    alerts = spark.createDataFrame([(1, 5, "t1", 0.9), (None, 6, "t1", 0.8)], "machine_id long, udi long, predicted_failure_date string, risk_score double")
+    path = str(tmp_path / "alerts/batch=0")
+    scoring.deliver(alerts.limit(1), path)
+    scoring.deliver(alerts.withColumn("predicted_failure_date", F.lit("later")), path)
+    scoring.deliver(alerts, path)
+    orders = str(tmp_path / "orders")
+    scoring.run_work_orders(scoring.alert_stream(spark, str(tmp_path)), lambda b: b, orders, str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.udi for r in spark.read.parquet(orders).collect()) == [5, 6]
