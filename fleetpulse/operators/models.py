@@ -33,6 +33,7 @@ BOOSTED = {"maxIter": 100, "maxDepth": 10, "stepSize": 0.1}
 SEARCH_TREES = (100, 500)
 SEARCH_DEPTH = (3, 20)
 SEARCH_RATE = (0.01, 0.3)
+MOST_DEPTH = 30
 IMPORTANCE_CUT = 0.01
 MIN_AUC, MAX_SPREAD = 0.7, 0.1
 FAILURE_WEIGHTS = {0: 1.0, 1: 3.0}
@@ -59,10 +60,12 @@ def random_forest(
     weight: str | None = None,
     seed: int = 42,
 ) -> PipelineModel:
+    if depth > MOST_DEPTH:
+        raise ValueError(f"MLlib trees have at most {MOST_DEPTH} levels, not {depth}")
     forest = RandomForestClassifier(
         labelCol=label,
         numTrees=trees,
-        maxDepth=min(depth, 30),
+        maxDepth=depth,
         featureSubsetStrategy="sqrt",
         seed=seed,
     )
@@ -211,18 +214,21 @@ def sequence_model(
     """Classifier over flattened windows: ``logistic``, ``boosted`` or ``perceptron``.
 
     Only the first two take row weights; give the perceptron resampled rows.
+    ``rate`` is the step size of boosting and sets the logistic model's penalty;
+    ``size`` is the perceptron's hidden layer and sets the depth of boosted trees.
     """
     rows = train.select(
         arrays.flat_vector(F.col(sequence)).alias("features"), label, *([weight] if weight else [])
     )
     if kind == "perceptron":
         learner = MultilayerPerceptronClassifier(
-            labelCol=label, layers=[width, size, 2], maxIter=rounds, stepSize=rate, seed=seed
+            labelCol=label, layers=[width, size, 2], maxIter=rounds, seed=seed
         )
     elif kind == "boosted":
-        learner = GBTClassifier(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=5, seed=seed)
+        depth = max(1, size.bit_length() - 1)  # 32 leaves are five levels
+        learner = GBTClassifier(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
     else:
-        learner = LogisticRegression(labelCol=label, maxIter=rounds, regParam=1e-4)
+        learner = LogisticRegression(labelCol=label, maxIter=rounds, regParam=rate / 300)
     if weight and kind != "perceptron":
         learner = learner.setWeightCol(weight)
     return Pipeline(stages=[learner]).fit(rows)
@@ -281,23 +287,21 @@ def adaptive_cross_validate(
         ).first()
         if row["mean"] >= MIN_AUC and row["spread"] <= MAX_SPREAD:
             break
+        # How a retry changes the settings.
         config["rate"] = config.get("rate", 0.03) * 0.5
         config["size"] = config.get("size", 32) + 32
-        config["dropout"] = config.get("dropout", 0.0) + 0.1
     return out, config
 
 
-def step_summary(features: Column, width: int, steps: int) -> Column:
-    """Mean over time steps, last step and total change of a folded vector, as one array."""
+def step_view(features: Column, width: int, steps: int) -> tuple[Column, int]:
+    """The whole folded vector and the change from each time step to the next, as one array; and its length."""
     rows = arrays.fold_steps(features, width, steps)
     per_step = width // steps
-    mean = F.transform(
-        F.sequence(F.lit(1), F.lit(per_step)),
-        lambda i: F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + F.element_at(r, i)) / steps,
+    changes = F.transform(
+        F.sequence(F.lit(2), F.lit(steps)),
+        lambda i: F.zip_with(F.element_at(rows, i), F.element_at(rows, i - 1), lambda a, b: a - b),
     )
-    last = F.element_at(rows, -1)
-    change = F.zip_with(last, F.element_at(rows, 1), lambda a, b: a - b)
-    return F.concat(mean, last, change)
+    return F.concat(F.flatten(rows), F.flatten(changes)) if steps > 1 else F.flatten(rows), width + (steps - 1) * per_step
 
 
 def select_time_steps(
@@ -307,23 +311,27 @@ def select_time_steps(
     fold_col: str,
     folds: int,
     steps: Sequence[int] = arrays.TIME_STEPS,
+    rounds: int = 50,
 ) -> DataFrame:
-    """Mean cross-validated F1 for every foldable number of time steps."""
+    """Mean cross-validated F1 for every foldable number of time steps; ``best`` marks the one to take (ties: fewer steps)."""
     flat = F.array(*[F.col(c).cast("double") for c in features])
     width, out = len(features), None
     df = written(df.select(fold_col, label, flat.alias("__flat")), "fold-rows")
     flat = F.col("__flat")
     for t in arrays.foldable_steps(width, tuple(steps)):
-        rows = df.select(fold_col, label, F.array(step_summary(flat, width, t)).alias("sequence"))
+        view, size = step_view(flat, width, t)
+        rows = df.select(fold_col, label, F.array(view).alias("sequence"))
 
-        def fit(train: DataFrame, config: dict, size: int = 3 * (width // t)):
-            model = sequence_model(train, label, width=size, rounds=20)
+        def fit(train: DataFrame, config: dict, size: int = size):
+            model = sequence_model(train, label, width=size, rounds=rounds)
             return lambda part, name: sequence_score(model, part, name, width=size)
 
         result = cross_validated_auc(rows, fold_col, folds, label, fit, {})
         line = result.agg(F.avg("f1").alias("mean_f1")).select(F.lit(t).alias("steps"), "mean_f1")
         out = line if out is None else out.unionByName(line)
-    return out
+    # one row per number of steps
+    first = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("mean_f1"), "steps")
+    return written(out, "step-scores").withColumn("best", (F.row_number().over(first) == 1).cast("int"))
 
 
 def permutation_importance(

@@ -13,8 +13,6 @@ from fleetpulse.session import work_path, written
 from fleetpulse.sources import views
 
 _LABEL = "machine_failure"
-# Smaller than the library defaults, so that all queries together stay quick.
-_TREES, _DEPTH, _ROUNDS = 20, 6, 10
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +29,7 @@ def feature_selection(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _sets(spark, folder)
     balanced = prep.upsample_minority(train, _LABEL, "udi")
     scaled = prep.fit_standard(balanced, TABULAR_FEATURES).transform(balanced)
-    kept, table = models.select_by_importance(scaled, TABULAR_FEATURES, _LABEL, trees=_TREES)
+    kept, table = models.select_by_importance(scaled, TABULAR_FEATURES, _LABEL)
     return table.withColumn("selected", F.col("feature").isin(kept).cast("int"))
 
 
@@ -40,7 +38,7 @@ def random_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Test rows scored by a forest that went through the model registry."""
     train, test = _sets(spark, folder)
     weighted = prep.class_weights(train, _LABEL)
-    fitted = models.random_forest(weighted, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH, "weight")
+    fitted = models.random_forest(weighted, TABULAR_FEATURES, _LABEL, weight="weight")
     path = work_path(spark, "registry")
     models.save_registry({"forest": (fitted, TABULAR_FEATURES)}, path, spark)
     loaded, features = models.load_registry(spark, path)["forest"]
@@ -52,7 +50,7 @@ def random_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _sets(spark, folder)
-    fitted = models.boosted_trees(train, TABULAR_FEATURES, _LABEL, _ROUNDS, 4)
+    fitted = models.boosted_trees(train, TABULAR_FEATURES, _LABEL)
     return models.score(fitted, test, "score").select("udi", _LABEL, "score")
 
 
@@ -61,8 +59,8 @@ def soft_voting(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of a forest, boosted trees and their mean probability on test rows."""
     train, test = _sets(spark, folder)
     fitted = {
-        "forest": models.random_forest(train, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH),
-        "boosted": models.boosted_trees(train, TABULAR_FEATURES, _LABEL, _ROUNDS, 4),
+        "forest": models.random_forest(train, TABULAR_FEATURES, _LABEL),
+        "boosted": models.boosted_trees(train, TABULAR_FEATURES, _LABEL),
     }
     voted = models.soft_vote(fitted, test)
     cells = F.array(
@@ -134,7 +132,7 @@ def time_step_selection(spark: SparkSession, folder: str) -> DataFrame:
 @query("permutation_importance")
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _sets(spark, folder)
-    fitted = models.random_forest(train, TABULAR_FEATURES, _LABEL, _TREES, _DEPTH)
+    fitted = models.random_forest(train, TABULAR_FEATURES, _LABEL)
     return models.permutation_importance(fitted, test, TABULAR_FEATURES, _LABEL, "udi")
 
 
