@@ -79,17 +79,16 @@ def model_search(spark: SparkSession, folder: str) -> DataFrame:
     """Mean F1 of random settings over stratified folds, with the best one marked."""
     folded = prep.stratified_folds(_rows(spark, folder), _LABEL, "udi", 3)
     settings = models.random_settings(4, trees=(5, 10))
-    settings = [{**s, "depth": min(s["depth"], 6)} for s in settings]
     results = models.random_search(folded, TABULAR_FEATURES, _LABEL, settings, folds=3)
     best = models.best_setting(results).select("trial", F.lit(1).alias("best"))
     return results.join(best, "trial", "left").fillna(0, ["best"])
 
 
-def _windows(spark: SparkSession, folder: str) -> DataFrame:
+def _windows(spark: SparkSession, folder: str, folds: int = 5) -> DataFrame:
     rows = views.labelled_readings(spark, folder)
     scaled = prep.fit_minmax(rows.filter("udi % 5 <> 0"), SEQUENCE_FEATURES).transform(rows)
     found = windows.sequences(scaled, SEQUENCE_FEATURES, ["machine_id"], ["event_time", "udi"])
-    return found.select("udi", _LABEL, "sequence", (F.col("udi") % 5).cast("int").alias("fold"))
+    return found.select("udi", _LABEL, "sequence", (F.col("udi") % folds).cast("int").alias("fold"))
 
 
 @query("sequence_classifier")
@@ -99,13 +98,13 @@ def sequence_classifier(spark: SparkSession, folder: str) -> DataFrame:
     def fit(train: DataFrame, config: dict):
         weighted = prep.class_weights(train, _LABEL, models.FAILURE_WEIGHTS)
         fitted = models.sequence_model(
-            weighted, _LABEL, config["kind"], rounds=20, rate=config["rate"], size=config["size"], weight="weight"
+            weighted, _LABEL, config["kind"], rate=config["rate"], size=config["size"], weight="weight"
         )
         return lambda part, name: models.sequence_score(fitted, part, name)
 
-    rows = _windows(spark, folder).withColumn("fold", F.col("fold") % 3)
+    rows = _windows(spark, folder, 3)
     out, _ = models.adaptive_cross_validate(
-        rows, "fold", 3, _LABEL, fit, {"kind": "logistic", "rate": 0.03, "size": 32}, max_rounds=2
+        rows, "fold", 3, _LABEL, fit, {"kind": "logistic", "rate": 0.03, "size": 32}
     )
     return out
 
@@ -115,7 +114,7 @@ def sequence_perceptron(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out window scores of a small perceptron trained on oversampled windows."""
     rows = _windows(spark, folder)
     train = prep.oversample(rows.filter("fold <> 0"), _LABEL, "udi")
-    fitted = models.sequence_model(train, _LABEL, "perceptron", rounds=15, size=8)
+    fitted = models.sequence_model(train, _LABEL, "perceptron")
     return models.sequence_score(fitted, rows.filter("fold = 0"), "score").select("udi", _LABEL, "score")
 
 
@@ -123,10 +122,10 @@ def sequence_perceptron(spark: SparkSession, folder: str) -> DataFrame:
 def time_step_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Mean F1 per foldable number of time steps of the flat feature vector."""
     rows = views.labelled_readings(spark, folder)
-    features = [c for c in SEQUENCE_FEATURES if c not in ("hdf_condition", "twf_condition", "osf_condition", "failure_risk")]
+    features = [*SEQUENCE_FEATURES, "type_code"]
     scaled = prep.fit_minmax(rows, features).transform(rows)
-    folded = prep.folds(scaled, "udi", 2)
-    return models.select_time_steps(folded, features, _LABEL, "fold", 2, (2, 5))
+    folded = prep.folds(scaled, "udi", 3)
+    return models.select_time_steps(folded, features, _LABEL, "fold", 3)
 
 
 @query("permutation_importance")
@@ -213,7 +212,7 @@ def dbscan(spark: SparkSession, folder: str) -> DataFrame:
 @query("ocsvm")
 def ocsvm(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scaled(spark, folder)
-    fitted = anomaly.one_class_svm(rows, _DETECTED, 0.01, dimensions=64, rounds=5)
+    fitted = anomaly.one_class_svm(rows, _DETECTED, 0.01)
     scored = fitted.score(rows, "score")
     return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
 

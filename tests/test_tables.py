@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,35 @@ def test_small_expressions(spark):
     assert [tuple(r) for r in rows.collect()] == [(1, 0.0, 3.0), (0, 2.0, 6.0)]
     shuffled = prep.shuffled(df, "label").orderBy("shuffle_key")
     assert shuffled.count() == 2
+
+
+@pytest.mark.parametrize("kind, one, other", [
+    ("logistic", {"rate": 0.3}, {"rate": 0.0003}),
+    ("perceptron", {"size": 2}, {"size": 6}),
+    ("boosted", {"size": 4}, {"size": 32}),
+])
+def test_a_retry_changes_the_fit(spark, kind, one, other):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        v = rng.normal(size=4)
+        rows.append((i, [v.tolist()], int(v[0] * v[1] + v[2] + rng.normal() > 0)))
+    df = spark.createDataFrame(rows, "id int, sequence array<array<double>>, y int")
+    scores = []
+    for settings in (one, other):
+        model = models.sequence_model(df, "y", kind, width=4, rounds=10, **settings)
+        scores.append([r.s for r in models.sequence_score(model, df, "s", width=4).orderBy("id").collect()])
+    assert not np.allclose(scores[0], scores[1], atol=1e-4)
+
+
+def test_time_steps_see_whole_windows_and_mark_the_best(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        v = rng.normal(size=6)
+        rows.append((i % 2, int(v[3] > v[0]), *v.tolist()))
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame(rows, "fold int, y int, " + ", ".join(f"{n} double" for n in names))
+    out = models.select_time_steps(df, names, "y", "fold", 2).collect()
+    assert [r.steps for r in out if r.best] == [max(out, key=lambda r: (r.mean_f1, -r.steps)).steps]
+    assert {r.steps for r in out} == {2, 3} and all(r.mean_f1 > 0.8 for r in out)
