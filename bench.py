@@ -47,6 +47,11 @@ HEADLINE = [
     "dbscan",
     "smote",
     "stream_scored_alerts",
+    "stream_sequences",
+    "stream_workorders",
+    "permutation_importance",
+    "sequence_classifier",
+    "ocsvm",
 ]
 
 
