@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.common import table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words and arcs remembered by a Python worker; a full table is begun anew.
-WORDS_KEPT = 1_000_000
-ARCS_KEPT = 1_000_000
+#: Words and arcs remembered by a Python worker. A full table of words becomes the old one, out of
+#: which words that come up again are taken over; a full table of arcs is begun anew.
+WORDS_KEPT = 100_000
+ARCS_KEPT = 200_000
 #: White space as the tokenizer file's patterns understand it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -154,6 +155,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.symbols = byte_symbols()
         short = "'s|'t|'re|'ve|'m|'ll|'d"
         self.split = regex.compile(rf"{short}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -165,11 +167,13 @@ class Codec:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def word(self, word: str) -> bytes:
-        ids = self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
+        found = self.old_words.get(word)
+        if found is None:
+            ids = self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
+            found = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(word) < 64:
             if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
+                self.words, self.old_words = {}, self.words
             self.words[word] = found
         return found
 
@@ -178,8 +182,8 @@ class Codec:
             # lower case is taken letter by letter: no final form of the Greek sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         split = self.split_late if not text.isascii() and self.late.search(text) else self.split
-        known, new = self.words, self.word
-        return b"".join([known.get(w) or new(w) for w in split.findall(text.lower())])
+        new = self.word
+        return b"".join([self.words.get(w) or new(w) for w in split.findall(text.lower())])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; strings of special tokens in the text are those tokens."""
