@@ -10,10 +10,17 @@ from fleetpulse.session import written
 
 #: Texts whose best language has a smaller share of the scores are rejected; four equal shares are 0.25 each.
 LEAST_SCORE = 0.3
+#: Rows in an Arrow batch: a Python worker holds the texts of one batch at a time.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters or below LEAST_SCORE go, a missing ``lang`` is filled in."""
+    small_batches(spark)
     known = langid.identify(docs, langid.learn_documents(docs))
     kept = known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -26,6 +33,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts: shingles of five words, similarity 0.8."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -37,6 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    small_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary_path()).drop("text")
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
