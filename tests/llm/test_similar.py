@@ -184,6 +184,30 @@ def test_similar_passage_with_an_edit(spark):
     assert got[2].class_id == 1 and got[3].class_id == 3 and got[1].repeated_words > 100
 
 
+@pytest.mark.parametrize("more", [3, 4])
+def test_similar_passage_with_words_put_in(spark, more):
+    rnd = random.Random(more)
+    draw = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    rows = []
+    for i in range(8):
+        same = draw(60)
+        rows.append((2 * i, " ".join(draw(30) + same + draw(30))))
+        rows.append((2 * i + 1, " ".join(draw(40) + same[:30] + draw(more) + same[30:] + draw(20))))
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].class_id == i - i % 2 for i in range(16))
+    assert all(got[i].repeated_words >= 60 for i in range(16))
+
+
+def test_marks_scattered_over_a_window_are_not_similar():
+    rnd = np.random.default_rng(6)
+    width = 2 * passages.REACH + 1
+    a, b = rnd.permutation(60_000)[: 2 * width].reshape(2, 1, width).astype(np.uint16) + 1
+    at = np.linspace(0, width - 1, 45).astype(int)
+    b[0, at] = a[0, passages.REACH - 22 : passages.REACH + 23]
+    assert not passages.similar(a, b)[0][0]
+    assert passages.similar(a, a)[0][0] and passages.overlapping(a, a)[1].tolist() == [[0, width - 1] * 2]
+
+
 def test_compact_windows_cover_every_subsequence_once():
     rnd = np.random.default_rng(1)
     values = rnd.permutation(40)
