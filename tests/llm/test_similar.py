@@ -198,6 +198,26 @@ def test_similar_passage_with_words_put_in(spark, more):
     assert all(got[i].repeated_words >= 60 for i in range(16))
 
 
+@pytest.mark.parametrize("hot_rows", [100, 4096])
+def test_batches_do_not_part_passages_around_a_hot_line(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(passages, "HOT_ROWS", hot_rows, raising=False)
+    rnd = random.Random(12)
+    draw = lambda n: [f"w{rnd.randrange(100_000)}" for _ in range(n)]
+    line = draw(40)
+    own = [draw(12) for _ in range(16)]
+    first = [draw(20) + own[i] + line + draw(20) if i < 16 else draw(20) + line + draw(20) for i in range(120)]
+    texts = {i: " ".join(w) for i, w in enumerate(first + [draw(30) + p + line + draw(9) for p in own])}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 120)
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.class_id for r in passages.repeated_passages(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sets, _ = brute_passages(texts)
+    assert got == {i: sets.find(i) for i in texts}
+
+
 def test_marks_scattered_over_a_window_are_not_similar():
     rnd = np.random.default_rng(6)
     width = 2 * passages.REACH + 1
