@@ -218,6 +218,20 @@ def test_batches_do_not_part_passages_around_a_hot_line(spark, monkeypatch, hot_
     assert got == {i: sets.find(i) for i in texts}
 
 
+@pytest.mark.parametrize("chunk_rows", [12, 4096])
+def test_similar_copies_of_a_hot_passage(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(passages, "CHUNK_ROWS", chunk_rows, raising=False)
+    rnd = random.Random(chunk_rows)
+    draw = lambda n: [f"w{rnd.randrange(1_000_000)}" for _ in range(n)]
+    hot, line, rows = draw(60), draw(20), []
+    for i in range(100):
+        rows.append((i, " ".join(draw(20) + hot[:29] + draw(1) + hot[30:] + draw(25))))
+        rows.append((1000 + i, " ".join(draw(40) + line + draw(40))))
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].class_id == 0 and got[i].repeated_words >= 59 and got[i].n_links > 0 for i in range(100))
+    assert all(got[1000 + i].class_id == 1000 + i and not got[1000 + i].spans for i in range(100))
+
+
 def test_marks_scattered_over_a_window_are_not_similar():
     rnd = np.random.default_rng(6)
     width = 2 * passages.REACH + 1
