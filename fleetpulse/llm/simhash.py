@@ -175,7 +175,7 @@ def grouped(fps: DataFrame, masks: list[int], extra: tuple[str, ...] = ()) -> tu
     tiled = (
         dealt.join(sized, ["t", "k"], "left")
         .withColumn("chunks", chunks)
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64("fp", *extra), F.col("chunks")).cast("int"))
         .withColumn("g", F.explode(tiles))
         .select("fp", *extra, "t", "k", "g.i", "g.j")
     )
@@ -258,15 +258,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInPandas(run, "src long, dst long")
 
 
-def label_fingerprints(marked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Facts (fp, n, head) from rows (key, th, fp) and edges between fingerprints; head: value and th of the first row."""
-    nodes = marked.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(*null_last(key), "th")).alias("least"))
-    joined = written(components(edges, "simhash-stars"), "simhash-labels").withColumnRenamed("node", "fp")
-    labelled = written(nodes.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-nodes")
-    heads = labelled.groupBy("label").agg(F.count("*").alias("fps"), F.min("least").alias("head"))
+def label_nodes(marked: DataFrame, edges: DataFrame, key: str, node: str = "fp") -> DataFrame:
+    """Facts (node, n, head) from rows (key, th, fp) and edges between nodes; head: value and th of the first row."""
+    nodes = marked.groupBy(node).agg(F.count("*").alias("n"), F.min(F.struct(*null_last(key), "th")).alias("least"))
+    joined = written(components(edges, "simhash-stars"), "simhash-labels").withColumnRenamed("node", node)
+    labelled = written(nodes.join(joined, node, "left").withColumn("label", F.coalesce("label", node)), "simhash-nodes")
+    heads = labelled.groupBy("label").agg(F.count("*").alias("nodes"), F.min("least").alias("head"))
     heads = written(heads, "simhash-heads")
     return written(
-        attach(labelled, heads, "label", "fps", ["fp"]).select("fp", "n", "head"), "simhash-facts"
+        attach(labelled, heads, "label", "nodes", [node]).select(node, "n", "head"), "simhash-facts"
     )
 
 
@@ -280,25 +280,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, k
     marked = written(fingerprints(docs, words, key, text), "simhash-marked")
     fps = written(marked.select("fp").distinct(), "simhash-distinct")
     edges = written(links(fps, radius), "simhash-edges")
-    facts = label_fingerprints(marked, edges, key)
+    facts = label_nodes(marked, edges, key)
     return attach(marked, facts, "fp", "n", [key]).select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.value").alias("component_id")
     )
 
 
 def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
-    """Pairs of fingerprints within a wide radius that have different labels: the closest pair of each two labels.
+    """Pairs of texts (fp, th, label) within a wide radius that have different labels: the closest pair of each two labels.
 
     Random fingerprints are 32 bits apart on average, so at a wide radius the
     distances to references hardly discard anything; whole blocks of a group are
     compared at once, by the first reference and then by distance.
     """
-    rows, by = grouped(labelled, block_masks(labelled.count(), radius, WIDE_GROUP_ROWS, 2), ("label",))
+    rows, by = grouped(labelled, block_masks(labelled.count(), radius, WIDE_GROUP_ROWS, 2), ("label", "th"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ref = pivots(1)[0]
         for frame, starts in runs(parts, by):
-            x, label = frame["fp"].to_numpy().view(np.uint64), frame["label"].to_numpy()
+            x, label, th = frame["fp"].to_numpy().view(np.uint64), frame["label"].to_numpy(), frame["th"].to_numpy()
             tabled = np.bitwise_count(x ^ ref).astype(np.int8)
             found = []
             for a, b in zip(starts, np.append(starts[1:], len(x))):
@@ -315,7 +315,7 @@ def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
                 flip = label[i] > label[j]
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
                 made = pd.DataFrame({"la": label[i], "lb": label[j], "d": np.bitwise_count(x[i] ^ x[j]).astype(np.int32)})
-                made["a"], made["b"] = x[i].view(np.int64), x[j].view(np.int64)
+                made["a"], made["b"] = np.minimum(th[i], th[j]), np.maximum(th[i], th[j])
                 yield made.sort_values(["la", "lb", "d", "a", "b"]).drop_duplicates(["la", "lb"])
 
     pairs = rows.mapInPandas(run, "la long, lb long, d int, a long, b long")
@@ -323,56 +323,69 @@ def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(fp, shingles): the different shingle hashes of one text for each wanted (key, th, fp)."""
+    """(th, shingles): the different shingle hashes of the text of each wanted (key, th)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in part["text"]]
-            yield pd.DataFrame({"fp": part["fp"], "shingles": sets})
+            yield pd.DataFrame({"th": part["th"], "shingles": sets})
 
     rows = docs.select(F.col(key).alias("key"), text_tag(text).alias("th"), F.col(text).alias("text"))
     sized = small(wanted.withColumnRenamed(key, "key"), wanted.count() * 64)
-    chosen = rows.alias("x").join(sized.alias("y"), F.expr("x.key <=> y.key AND x.th = y.th")).select("y.fp", "x.text")
-    return chosen.mapInPandas(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
+    chosen = rows.alias("x").join(sized.alias("y"), F.expr("x.key <=> y.key AND x.th = y.th")).select("x.th", "x.text")
+    return chosen.mapInPandas(run, "th long, shingles array<long>").dropDuplicates(["th"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """Those of the pairs (src, dst) of fingerprints whose texts have the Jaccard similarity, by their shingle sets. Stored.
+    """Those of the pairs (src, dst) of texts that have the Jaccard similarity, by their shingle sets. Stored.
 
-    ``nodes`` (fp, least) names the row that stands for a fingerprint.
+    ``nodes`` (th, least) names the row that stands for a text.
     """
-    ends = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
-    wanted = written(nodes.join(ends, "fp").select(F.col("least.value").alias(key), "least.th", "fp"), "near-wanted")
+    ends = pairs.select(F.col("src").alias("th")).unionByName(pairs.select(F.col("dst").alias("th"))).distinct()
+    wanted = written(nodes.join(ends, "th").select(F.col("least.value").alias(key), "th"), "near-wanted")
     sets = written(shingle_sets(docs, wanted, words, key, text), "near-shingles")
     degree = written(pairs.groupBy("src").agg(F.count("*").alias("n")), "near-degrees")
-    left = sets.select(F.col("fp").alias("src"), F.col("shingles").alias("sa")).join(degree, "src")
-    right = sets.select(F.col("fp").alias("dst"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("th").alias("src"), F.col("shingles").alias("sa")).join(degree, "src")
+    right = sets.select(F.col("th").alias("dst"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     compared = attach(pairs, written(left, "near-left"), "src", "n", ["dst"]).join(right, "dst")
     alike = compared.where(both >= similarity * (F.size("sa") + F.size("sb") - both))
     return written(alike.select("src", "dst"), "near-verified")
 
 
+def first_links(nodes: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of texts (fp, th), src < dst, stored: a star for each fingerprint, and a forest of close fingerprints."""
+    prints = written(nodes.groupBy("fp").agg(F.min("th").alias("one"), F.count("*").alias("n")), "near-prints")
+    stars = attach(nodes.select("fp", "th"), prints, "fp", "n", ["th"]).where("th <> one").select(F.col("one").alias("src"), F.col("th").alias("dst"))
+    close = written(links(prints.select("fp"), FOREST_RADIUS), "near-forest")
+    a, b = (prints.select(F.col("fp").alias(name), F.col("one").alias(f"{name}_one")) for name in ("src", "dst"))
+    ends = F.least("src_one", "dst_one").alias("src"), F.greatest("src_one", "dst_one").alias("dst")
+    return written(stars.unionByName(close.join(a, "src").join(b, "dst").select(*ends)), "near-first")
+
+
+def labelled_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with the label of their component, stored."""
+    labels = components(edges, "near-stars").withColumnRenamed("node", "th")
+    return written(nodes.join(labels, "th", "left").select("fp", "th", F.coalesce("label", "th").alias("label")), "near-labels")
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies, all columns kept: of each group the row with the smallest key stays (null keys last).
 
     Two texts are near copies if their fingerprints agree in ``similarity`` of their
-    bits and their shingle sets have that Jaccard similarity. Close fingerprints are
-    linked by a spanning forest first; then the closest pair of every two groups
-    that are still apart is looked at, up to the full radius. All links are
-    verified. Rows equal in key and text are one document and stay or go together.
+    bits and their shingle sets have that Jaccard similarity. Texts with equal
+    fingerprints are linked by stars and close fingerprints by a spanning forest
+    first; then the closest pair of every two groups that are still apart is looked
+    at, up to the full radius. All links are verified. Rows equal in key and text
+    are one document and stay or go together.
     """
     marked = written(fingerprints(docs, words, key, text), "near-marked")
-    nodes = marked.groupBy("fp").agg(F.min(F.struct(*null_last(key), "th")).alias("least"))
-    nodes = written(nodes, "near-nodes")
-    forest_edges = written(links(nodes.select("fp"), FOREST_RADIUS), "near-forest")
-    edges = verified(forest_edges, nodes, docs, words, similarity, key, text)
-    labels = components(edges, "near-stars").withColumnRenamed("node", "fp")
-    labelled = written(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "near-labels")
-    pairs = written(wide_pairs(labelled, int(64 * (1 - similarity))), "near-pairs")
+    nodes = written(marked.groupBy("fp", "th").agg(F.min(F.struct(*null_last(key), "th")).alias("least")), "near-nodes")
+    edges = verified(first_links(nodes), nodes, docs, words, similarity, key, text)
+    pairs = written(wide_pairs(labelled_texts(nodes, edges), int(64 * (1 - similarity))), "near-pairs")
     edges = edges.unionByName(verified(pairs, nodes, docs, words, similarity, key, text))
-    facts = label_fingerprints(marked, edges, key)
-    leaving = attach(marked, facts, "fp", "n", [key, "th"]).where(f"NOT (`{key}` <=> head.value AND th = head.th)")
+    facts = label_nodes(marked, edges, key, "th")
+    leaving = attach(marked, facts, "th", "n", [key]).where(f"NOT (`{key}` <=> head.value AND th = head.th)")
     leaving = leaving.select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(key).alias("_id"), text_tag(text).alias("_tag"))
     kept = rows.join(leaving, F.expr("_id <=> _key AND _tag = _th"), "left_anti")

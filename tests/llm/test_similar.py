@@ -129,6 +129,16 @@ def test_one_of_each_near_copy_stays(spark):
     assert ids == {g[0][0] for g in groups} | {5000, None}
 
 
+def test_a_repeated_line_makes_no_near_copies(spark):
+    rnd = random.Random(5)
+    line = "one two three four five " * 200
+    rows = [(i, line + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(300)), i) for i in range(12)]
+    rows += [(100 + i, rows[i][1] + " end", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    assert len({fingerprint(t, 5) for _, t, _ in rows}) < 4
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(12))
+
+
 def brute_passages(texts, n=51):
     seen, sets, hit = {}, Sets(texts), set()
     for i, t in texts.items():
