@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import attach, components, null_last, small, table
@@ -39,6 +40,9 @@ PIVOTS = 16
 FOREST_RADIUS = 6
 #: At a wide radius groups may be larger, as every choice of blocks costs a copy of the rows.
 WIDE_GROUP_ROWS = 1024
+#: Pairs of each two groups that the first wide search gives, and the factor by which later ones give more.
+WIDE_PAIRS = 8
+WIDE_FACTOR = 8
 PIECE = 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -286,8 +290,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, k
     )
 
 
-def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
-    """Pairs of texts (fp, th, label) within a wide radius that have different labels: the closest pair of each two labels.
+def wide_pairs(labelled: DataFrame, radius: int, most: int) -> DataFrame:
+    """Pairs (la, lb, d, a, b) of texts (fp, th, label) within a wide radius that have different labels: the ``most`` closest of each two labels.
 
     Random fingerprints are 32 bits apart on average, so at a wide radius the
     distances to references hardly discard anything; whole blocks of a group are
@@ -316,10 +320,11 @@ def wide_pairs(labelled: DataFrame, radius: int) -> DataFrame:
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
                 made = pd.DataFrame({"la": label[i], "lb": label[j], "d": np.bitwise_count(x[i] ^ x[j]).astype(np.int32)})
                 made["a"], made["b"] = np.minimum(th[i], th[j]), np.maximum(th[i], th[j])
-                yield made.sort_values(["la", "lb", "d", "a", "b"]).drop_duplicates(["la", "lb"])
+                yield made.sort_values(["la", "lb", "d", "a", "b"]).drop_duplicates().groupby(["la", "lb"]).head(most)
 
-    pairs = rows.mapInPandas(run, "la long, lb long, d int, a long, b long")
-    return pairs.groupBy("la", "lb").agg(F.min(F.struct("d", "a", "b")).alias("p")).select(F.col("p.a").alias("src"), F.col("p.b").alias("dst"))
+    pairs = rows.mapInPandas(run, "la long, lb long, d int, a long, b long").distinct()
+    nth = F.row_number().over(W.partitionBy("la", "lb").orderBy("d", "a", "b"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -369,21 +374,45 @@ def labelled_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return written(nodes.join(labels, "th", "left").select("fp", "th", F.coalesce("label", "th").alias("label")), "near-labels")
 
 
+def near_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """Verified links (src, dst) that connect the texts (fp, th, least) as all similar pairs within the radius would.
+
+    The wide search is repeated, with more pairs for each two groups, among the groups that are still apart and
+    had more pairs than the last search gave. Pairs that were tried are not verified again.
+    """
+    tried = first_links(nodes)
+    edges = verified(tried, nodes, docs, words, similarity, key, text)
+    active, most = labelled_texts(nodes, edges), WIDE_PAIRS
+    while True:
+        found = written(wide_pairs(active, int(64 * (1 - similarity)), most), "near-pairs")
+        pairs = found.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(tried, ["src", "dst"], "left_anti")
+        pairs = written(pairs, "near-untried")
+        edges = edges.unionByName(verified(pairs, nodes, docs, words, similarity, key, text))
+        # two labels with all their pairs listed are settled
+        unsettled = found.where(F.col("nth") == most)
+        unsettled = unsettled.select(F.col("la").alias("label")).unionByName(unsettled.select(F.col("lb").alias("label"))).distinct()
+        unsettled = written(unsettled, "near-unsettled")
+        if unsettled.isEmpty():
+            return edges
+        tried = written(tried.unionByName(pairs), "near-tried")
+        labels = labelled_texts(nodes, edges)
+        active = written(active.join(unsettled, "label", "left_semi").select("th").join(labels, "th").select("fp", "th", "label"), "near-active")
+        most *= WIDE_FACTOR
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies, all columns kept: of each group the row with the smallest key stays (null keys last).
 
     Two texts are near copies if their fingerprints agree in ``similarity`` of their
     bits and their shingle sets have that Jaccard similarity. Texts with equal
     fingerprints are linked by stars and close fingerprints by a spanning forest
-    first; then the closest pair of every two groups that are still apart is looked
-    at, up to the full radius. All links are verified. Rows equal in key and text
-    are one document and stay or go together.
+    first; then the pairs of every two groups that are still apart are looked at,
+    the closest first, up to the full radius, until none is left. All links are verified.
+    Rows equal in key and text are one document and stay or go together.
     """
     marked = written(fingerprints(docs, words, key, text), "near-marked")
     nodes = written(marked.groupBy("fp", "th").agg(F.min(F.struct(*null_last(key), "th")).alias("least")), "near-nodes")
-    edges = verified(first_links(nodes), nodes, docs, words, similarity, key, text)
-    pairs = written(wide_pairs(labelled_texts(nodes, edges), int(64 * (1 - similarity))), "near-pairs")
-    edges = edges.unionByName(verified(pairs, nodes, docs, words, similarity, key, text))
+    edges = near_links(nodes, docs, words, similarity, key, text)
     facts = label_nodes(marked, edges, key, "th")
     leaving = attach(marked, facts, "th", "n", [key]).where(f"NOT (`{key}` <=> head.value AND th = head.th)")
     leaving = leaving.select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct()

@@ -139,6 +139,27 @@ def test_a_repeated_line_makes_no_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == list(range(12))
 
 
+@pytest.mark.parametrize("first", [1, 8])
+def test_groups_whose_closest_pair_fails_are_linked(spark, monkeypatch, first):
+    monkeypatch.setattr(simhash, "WIDE_PAIRS", first, raising=False)
+    changed = {1: [("a", 0)], 2: [], 3: [("b", 10), ("b", 20)], 4: [("b", 10)]}
+    prints = {1: 0, 2: 0b11111 << 10, 3: 0b11111, 4: 0b11111 | 0b111 << 10}
+    texts = {}
+    for i, parts in changed.items():
+        w = [f"c{n}" for n in range(100)]
+        for name, at in parts:
+            w[at : at + 10] = [f"{name}{n}" for n in range(at, at + 10)]
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def fingerprints(docs, words, key, text):
+        fps = spark.createDataFrame(list(prints.items()), "doc_id long, fp long")
+        return docs.select("doc_id", simhash.text_tag(text).alias("th")).join(fps, "doc_id")
+
+    monkeypatch.setattr(simhash, "fingerprints", fingerprints)
+    assert [r.doc_id for r in simhash.deduplicate(docs, words=1).collect()] == [1]
+
+
 def brute_passages(texts, n=51):
     seen, sets, hit = {}, Sets(texts), set()
     for i, t in texts.items():
