@@ -92,23 +92,29 @@ def intervals(sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, i
     return out
 
 
+def with_blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows`` (old_shard, place, any more) with block; ``counts``: the rows of each old shard."""
+    parts = F.lit(1).cast("long")
+    for old, n in counts.items():
+        parts = F.when(F.col("old_shard") == old, F.lit(-(-n // BLOCK_ROWS)).cast("long")).otherwise(parts)
+    share = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2.0**32
+    return rows.withColumn("block", F.floor(share * parts).cast("long"))
+
+
 def reshard(rows: DataFrame, shards: int = NEW_SHARDS) -> DataFrame:
     """Rows (old_shard int, size long > 0, place: a hex digest that orders a shard, any more) with block, shard, slot.
 
     A row goes where the middle of its bytes lies, so a new shard misses its
     capacity by at most half a row for each of its cuts. ``slot`` counts from 0
     without gaps within a shard. Blocks hold about BLOCK_ROWS rows of an old
-    shard, whatever its size. Rows that agree in place may swap slots.
+    shard, whatever its size; rows that have a block already keep it. Rows that agree
+    in place may swap slots.
     """
     spark = rows.sparkSession
     held = {r[0]: (r[1], r[2]) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count("*")).collect()}
     cuts = intervals({o: b for o, (b, _) in held.items()}, shards)
     arcs = spark.createDataFrame(cuts, "old_shard int, shard int, lo long, hi long")
-    parts = F.lit(1).cast("long")
-    for old, (_, n) in held.items():
-        parts = F.when(F.col("old_shard") == old, F.lit(-(-n // BLOCK_ROWS)).cast("long")).otherwise(parts)
-    share = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2.0**32
-    blocked = rows.withColumn("block", F.floor(share * parts).cast("long"))
+    blocked = rows if "block" in rows.columns else with_blocks(rows, {o: n for o, (_, n) in held.items()})
 
     blocks = blocked.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
     n_blocks = sum(-(-n // BLOCK_ROWS) for _, n in held.values())
@@ -142,26 +148,34 @@ def affected(plan: DataFrame) -> DataFrame:
     return plan.groupBy("old_shard", "block").agg(F.bool_or(F.col("shard") != F.col("old_shard")).alias("rewritten"))
 
 
-def rewrite(plan: DataFrame, layout: str, name: str = "resharded") -> DataFrame:
+def numbered_in_place(rows: DataFrame) -> DataFrame:
+    """``rows`` with their number among the rows of the same place, by size."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("old_shard", "block", "place").orderBy("size")))
+
+
+def rewrite(plan: DataFrame, layout: str, name: str = "resharded", target: str | None = None) -> DataFrame:
     """Rewrite the affected files of ``layout``; returns the new manifest (shard, path, rewritten).
 
     ``layout`` is a folder of Parquet files in partitions old_shard=/block=, and
-    ``plan`` gives old_shard, block, place and shard of every row in it. Blocks that
-    stay keep their files; the rest is read, joined to its plan and written below
-    the shared work folder in partitions shard=.
+    ``plan`` gives old_shard, block, place, size, shard and slot of every row in it. Blocks that
+    stay keep their files; the rest is read, joined to its plan and written, with slots, below
+    the shared work folder (or to ``target``) in partitions shard=. Rows are told apart by a column
+    ``row`` if both have it, otherwise by place, size and their number among equals.
     """
     spark = plan.sparkSession
-    target = work_path(spark, name)
+    target = target or work_path(spark, name)
     state = written(affected(plan), "shard-affected")
     moving = state.where("rewritten").drop("rewritten")
     stored = spark.read.parquet(layout)
+    stored = stored.withColumns({"old_shard": F.col("old_shard").cast("int"), "block": F.col("block").cast("long")})
     rows = stored.join(moving, ["old_shard", "block"], "left_semi")
-    where = plan.join(moving, ["old_shard", "block"], "left_semi").select("old_shard", "block", "place", "shard").distinct()
+    where = plan.join(moving, ["old_shard", "block"], "left_semi")
+    on = ["row"]
+    if not ("row" in plan.columns and "row" in stored.columns):
+        rows, where, on = numbered_in_place(rows), numbered_in_place(where), ["old_shard", "block", "place", "nth"]
     (
-        rows.withColumn("old_shard", F.col("old_shard").cast("int"))
-        .withColumn("block", F.col("block").cast("long"))
-        .join(where, ["old_shard", "block", "place"])
-        .drop("old_shard", "block")
+        rows.join(where.select(*on, "shard", "slot"), on)
+        .drop("block", "nth")
         .write.partitionBy("shard")
         .parquet(target)
     )
@@ -180,21 +194,46 @@ def text_size(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
 
 
+def stored_layout(rows: DataFrame) -> tuple[str, DataFrame]:
+    """Folder of ``rows`` (old_shard, place, any more) in partitions old_shard=/block=, and its rows, each with a unique ``row``."""
+    spark = rows.sparkSession
+    layout = work_path(spark, "shard-layout")
+    counts = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.count("*")).collect()}
+    blocked = with_blocks(rows, counts).repartition("old_shard", "block").withColumn("row", F.monotonically_increasing_id())
+    blocked.write.partitionBy("old_shard", "block").parquet(layout)
+    return layout, spark.read.schema(blocked.schema).parquet(layout)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents moved from 12 shards by source to 8 shards of nearly equal bytes.
 
-    A null doc_id or text is placed like any other value; rows that repeat a
-    document are rows of their own.
+    The old shards are written as files, the affected ones are rewritten, and the
+    result is read from the files. A null doc_id or text is placed like any other
+    value; rows that repeat a document are rows of their own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
+        "text",
         text_size(F.col("text")).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"),
         F.md5(F.concat(F.lit("place:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("place"),
     )
-    return reshard(written(rows, "shard-documents")).select(
+    layout, stored = stored_layout(rows)
+    if stored.isEmpty():
+        moved = stored.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    else:
+        plan = written(reshard(stored.select("row", "size", "old_shard", "block", "place")), "shard-plan")
+        target = work_path(spark, "resharded")
+        left = rewrite(plan, layout, target=target).where("NOT rewritten").select("path")
+        columns = ["doc_id", "size", "text_crc32", "old_shard", "slot", "shard"]
+        schema = ", ".join(f"{c} {dict(stored.dtypes + plan.dtypes)[c]}" for c in columns)
+        moved = spark.read.schema(schema).parquet(target)
+        path = F.format_string(f"{layout}/old_shard=%d/block=%d", "old_shard", "block")
+        kept = stored.withColumn("path", path).join(left, "path", "left_semi").join(plan.select("row", "shard", "slot"), "row")
+        moved = moved.unionByName(kept.select(*columns))
+    return moved.select(
         "doc_id",
         "size",
         "text_crc32",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm import mixing, sharding
 from fleetpulse.llm.mixing import mix, pour
 from fleetpulse.llm.sharding import even, intervals, min_cost_flow, op3_sharding, reshard
+from fleetpulse.session import written
 
 
 def water(budget, children):
@@ -128,3 +129,37 @@ def test_null_and_repeated_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = op3_sharding(spark, str(tmp_path)).collect()
     assert sorted(r.size for r in plan) == [1, 2, 2, 100_001]
+
+
+@pytest.mark.parametrize("with_row", [True, False])
+def test_rows_that_share_a_place_are_rewritten_once(spark, tmp_path, with_row):
+    rows = spark.range(300).select(
+        F.col("id").alias("row" if with_row else "id"),
+        (F.col("id") % 7 + 10).cast("long").alias("size"),
+        (F.col("id") % 3).cast("int").alias("old_shard"),
+        F.md5(F.when(F.col("id") % 3 == 0, F.lit("null")).otherwise(F.col("id").cast("string"))).alias("place"),
+    )
+    name = rows.columns[0]
+    plan = written(reshard(rows, 2), "t")
+    layout = str(tmp_path / "layout")
+    rows.join(plan.select(name, "block"), name).write.partitionBy("old_shard", "block").parquet(layout)
+    found = []
+    for r in sharding.rewrite(plan, layout).collect():
+        found += [(x[name], r.shard, x["size"]) for x in spark.read.parquet(r.path).collect()]
+    assert sorted(x for x, _, _ in found) == list(range(300))
+    want = plan.select("shard", "size").collect()
+    assert sorted((s, n) for _, s, n in found) == sorted((r.shard, r["size"]) for r in want)
+    assert not with_row or {x: s for x, s, _ in found} == {r.row: r.shard for r in plan.collect()}
+
+
+def test_the_query_rewrites_files(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 3 == 0 else i // 2, f"text {i} " * (i % 9), f"s{i % 4}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, real = [], sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda *a, **k: calls.append(k["target"]) or real(*a, **k))
+    got = op3_sharding(spark, str(tmp_path)).toPandas()
+    files = spark.read.parquet(calls[0]).toPandas()
+    assert set(files.text) <= {t for _, t, _ in rows} and 0 < len(files) <= len(got) == 200
+    assert sorted(got["size"]) == sorted(len(t) + 1 for _, t, _ in rows)
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
