@@ -1,6 +1,6 @@
 """Operators for training data: one module each, with its query and, where SQL can say it, its SQL."""
 
-from fleetpulse.llm import ann, bpe, chat, exact_dedup, langid, mixing, passages, sharding, simhash, warc
+from fleetpulse.llm import ann, bpe, chat, exact_dedup, langid, mixing, passages, periodic, sharding, simhash, toxicity, warc, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op10_passages": passages.op10_passages,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 SQL = {

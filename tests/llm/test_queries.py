@@ -18,6 +18,6 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
-    for table in ("documents", "pages", "conversations", "embeddings"):
+    for table in ("documents", "pages", "conversations", "embeddings", "labels"):
         spark.read.parquet(f"{FOLDER}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == (1 if name.startswith("op7") else 0)
