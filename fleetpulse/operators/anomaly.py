@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetpulse.operators.graphs import components
 from fleetpulse.operators.neighbors import (
     Cells,
     build_cells,
     count_within,
     distinct_vectors,
     knn,
+    least_within,
+    links_within,
     vector,
 )
 from fleetpulse.operators.ordering import add_ordinal, quantiles
@@ -261,7 +264,40 @@ def local_outlier_factor(
     return LocalOutlierFactor(tuple(features), cells, density, k, offset)
 
 
-# Density noise
+# Density clusters
+
+
+def _boxes(features: Sequence[str], eps: float) -> Column:
+    """Number of a vector's grid box of diagonal ``eps``: two vectors of a box are never further apart."""
+    # A shade below eps, so rounding does not matter.
+    side = eps / math.sqrt(len(features)) * (1 - 1e-9)
+    return F.transform("vec", lambda v: F.floor(v / F.lit(side)))
+
+
+def core_vectors(df: DataFrame, features: Sequence[str], key: str, eps: float, min_points: int) -> DataFrame:
+    """``(vid, vec, m, core)`` of the different vectors: core ones have ``min_points`` rows within ``eps``.
+
+    Rows in a grid box that holds enough rows are core without any distance being computed.
+    """
+    boxed = distinct_vectors(df, features, key).withColumn("box", _boxes(features, eps))
+    full = boxed.groupBy("box").agg(F.sum("m").alias("__in_box")).filter(F.col("__in_box") >= min_points)
+    marked = written(
+        boxed.join(full, "box", "left").select("vid", "vec", "m", F.col("__in_box").isNotNull().alias("dense")),
+        "density-vectors",
+    )
+    around = count_within(build_cells(marked), eps, marked.filter(~F.col("dense")))
+    core = F.col("dense") | (F.coalesce("n", F.lit(0)) >= min_points)
+    return written(marked.join(around, "vid", "left").select("vid", "vec", "m", core.alias("core")), "density-core")
+
+
+def _labelled(df: DataFrame, features: Sequence[str], labels: DataFrame, name: str, otherwise: int) -> DataFrame:
+    found = labels.select("vec", F.col("label").alias(name))
+    return (
+        df.withColumn("vec", vector(features))
+        .join(found, "vec", "left")
+        .withColumn(name, F.coalesce(F.col(name), F.lit(otherwise)))
+        .drop("vec")
+    )
 
 
 def density_noise(
@@ -275,46 +311,48 @@ def density_noise(
     """Add 1 for rows that density clustering leaves out of every cluster, else 0.
 
     A row is noise when fewer than ``min_points`` rows lie within ``eps`` and none
-    of those is a core row. Cluster numbers are not needed for that. Rows in a
-    grid box of diagonal ``eps`` that holds enough rows are core without any
-    distance being computed.
+    of those is a core row. Cluster numbers are not needed for that.
     """
-    vectors = distinct_vectors(df, features, key)
-    # A shade below eps, so rounding never makes two rows of a box further apart.
-    side = eps / math.sqrt(len(features)) * (1 - 1e-9)
-    box = F.transform("vec", lambda v: F.floor(v / F.lit(side)))
-    boxed = vectors.withColumn("box", box)
-    full = boxed.groupBy("box").agg(F.sum("m").alias("__in_box")).filter(F.col("__in_box") >= min_points)
-    marked = written(
-        boxed.join(full, "box", "left").select("vid", "vec", "m", F.col("__in_box").isNotNull().alias("dense")),
-        "noise-vectors",
-    )
-    cells = build_cells(marked.select("vid", "vec", "m"))
-    sparse = marked.filter(~F.col("dense")).select("vid", "vec")
-    around = count_within(cells, eps, sparse)
-    judged = written(
-        marked.join(around, "vid", "left").select(
-            "vid", "vec", "m", (F.col("dense") | (F.coalesce("n", F.lit(0)) >= min_points)).alias("core")
-        ),
-        "noise-core",
-    )
-    rest = judged.filter(~F.col("core")).select("vid", "vec")
-    core = judged.filter("core").select("vid", "vec", "m")
+    judged = core_vectors(df, features, key, eps, min_points)
+    rest = judged.filter(~F.col("core"))
+    core = judged.filter("core")
     if core.isEmpty():
-        noise = rest.select("vec", F.lit(1).alias(name))
+        noise = rest
     else:
-        touched = count_within(build_cells(core), eps, rest)
-        noise = (
-            rest.join(touched, "vid", "left")
-            .filter(F.coalesce("n", F.lit(0)) == 0)
-            .select("vec", F.lit(1).alias(name))
-        )
-    return (
-        df.withColumn("vec", vector(features))
-        .join(noise, "vec", "left")
-        .withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-        .drop("vec")
-    )
+        noise = rest.join(least_within(build_cells(core), eps, rest), "vid", "left_anti")
+    return _labelled(df, features, noise.select("vec", F.lit(1).alias("label")), name, 0)
+
+
+def dbscan_labels(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str,
+    eps: float = 0.5,
+    min_points: int = 5,
+    name: str = "cluster",
+) -> DataFrame:
+    """Add the density cluster of each row: the smallest key of its core rows, -1 for noise.
+
+    Core rows within ``eps`` of each other share a cluster; a row within ``eps`` of core rows of
+    several clusters goes to the smallest. Core rows of a grid box are one node, leaves that meet
+    add a forest of links, and components are found by contraction rounds, so no step holds all
+    pairs of a dense place.
+    """
+    judged = core_vectors(df, features, key, eps, min_points)
+    core = judged.filter("core")
+    if core.isEmpty():
+        return df.withColumn(name, F.lit(-1).cast("bigint"))
+    cells = build_cells(core)
+    boxed = cells.refs.withColumn("box", _boxes(features, eps))
+    heads = boxed.groupBy("box").agg(F.min("vid").alias("dst"))
+    inside = boxed.join(heads, "box").select(F.col("vid").alias("src"), "dst")
+    parts = components(inside.unionByName(links_within(cells, eps)))
+    placed = core.join(parts.withColumnRenamed("node", "vid"), "vid", "left")
+    labels = written(placed.select("vid", "vec", F.coalesce("label", "vid").alias("label")), "clusters")
+    rest = judged.filter(~F.col("core"))
+    marked = build_cells(labels.select("vid", "vec", F.col("label").alias("m")))
+    border = rest.join(least_within(marked, eps, rest), "vid").select("vid", "vec", F.col("least").alias("label"))
+    return _labelled(df, features, labels.unionByName(border), name, -1)
 
 
 # One-class support vectors

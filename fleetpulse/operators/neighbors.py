@@ -1,27 +1,38 @@
-"""Exact neighbour search without comparing all pairs.
-
-Equal vectors are combined first. Pivots, drawn by hash and so denser where the
-data is denser, split space into cells; the triangle inequality says which cells
-can hold a neighbour of a query, and only those are probed. Large cells are
-split into chunks on both sides, so a task holds two bounded blocks.
+"""Exact neighbour search over blocks of close vectors, without comparing all pairs.
+
+Equal vectors are combined first. Space is cut twice: a tree of median cuts,
+fitted on a sample, deals the vectors over top cells, and inside each top cell
+median cuts go on until a leaf holds few rows. A leaf is stored as one row with
+its bounding box. A query knows a bound on the distance that still matters; boxes
+further away than that are skipped, first whole top cells, then leaves, then for
+each query of a block. The bound falls in rounds: the nearest leaves are asked
+first, and only what the bound of the round before leaves is asked later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetpulse.session import written
 
-ROWS_PER_CELL = 2000
-MAX_PIVOTS = 4096
+ROWS_PER_CELL = 256
+ROWS_PER_TOP = 1 << 14
+#: Rows of the sample for each top cell; the sample is all that reaches the driver.
+SAMPLE_PER_TOP = 16
 ROWS_PER_CHUNK = 8000
-_QUERY_ROWS = 256
+#: Leaves asked in the first round, all in the query's own top cell, and at most in the second.
+FIRST_LEAVES = 2
+SECOND_LEAVES = 8
+_BLOCK = (
+    "top int, leaf int, low array<double>, high array<double>, ids array<bigint>, marks array<bigint>, flat array<double>"
+)
 
 
 def vector(features: Sequence[str]) -> Column:
@@ -38,14 +49,46 @@ def distinct_vectors(df: DataFrame, features: Sequence[str], key: str) -> DataFr
     )
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Median cuts of a complete binary tree; node ``i`` leads to ``2 i + 1`` and ``2 i + 2``."""
+
+    depth: int
+    dims: np.ndarray
+    cuts: np.ndarray
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Number of the top cell of each row."""
+        node = np.zeros(len(x), dtype="int64")
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dims[node]] > self.cuts[node])
+        return (node - ((1 << self.depth) - 1)).astype("int32")
+
+
+def _grow(x: np.ndarray, depth: int) -> Tree:
+    dims, cuts = np.zeros((1 << depth) - 1, dtype="int64"), np.zeros((1 << depth) - 1)
+    parts = {0: np.arange(len(x))}
+    for node in range(len(dims)):
+        rows = parts.pop(node)
+        part = x[rows]
+        if len(rows):
+            dims[node] = int(part.std(axis=0).argmax())
+            cuts[node] = float(np.median(part[:, dims[node]]))
+        right = part[:, dims[node]] > cuts[node]
+        parts[2 * node + 1], parts[2 * node + 2] = rows[~right], rows[right]
+    return Tree(depth, dims, cuts)
+
+
 @dataclass(frozen=True)
 class Cells:
-    """Reference vectors with their cell, and the small per-cell facts."""
+    """Reference vectors, their stored blocks, and the boxes of the top cells."""
 
-    refs: DataFrame
-    pivots: np.ndarray
-    radius: np.ndarray
-    rows: np.ndarray
+    refs: DataFrame  # vid, vec, m
+    blocks: DataFrame
+    tree: Tree
+    low: np.ndarray
+    high: np.ndarray
+    rows_per_cell: int
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,146 +100,168 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``reach``)."""
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
-    @F.pandas_udf("cell int, reach double")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, pivots.shape[1]))
-            cells = np.empty(len(rows), dtype="int32")
-            reach = np.empty(len(rows))
-            for at in range(0, len(rows), _QUERY_ROWS):
-                d = _distances(rows[at : at + _QUERY_ROWS], pivots)
-                best = d.argmin(axis=1)
-                cells[at : at + _QUERY_ROWS] = best
-                reach[at : at + _QUERY_ROWS] = d[np.arange(len(best)), best]
-            yield pd.DataFrame({"cell": cells, "reach": reach})
-
-    return df.withColumn("__a", nearest("vec")).select("*", "__a.cell", "__a.reach").drop("__a")
-
-
-def build_cells(
-    vectors: DataFrame, rows_per_cell: int = ROWS_PER_CELL, max_pivots: int = MAX_PIVOTS
-) -> Cells:
-    """Choose pivots and place every reference vector into its cell."""
-    vectors = written(vectors, "vectors")
-    count = vectors.count()
-    wanted = max(1, min(max_pivots, count // rows_per_cell))
-    drawn = vectors.orderBy(F.xxhash64("vid"), "vid").limit(wanted).select("vec").collect()
-    pivots = np.array([r["vec"] for r in drawn], dtype="float64").reshape(len(drawn), -1)
-    refs = written(_assign(vectors, pivots), "cells")
-    radius, rows = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype="int64")
-    for r in refs.groupBy("cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r["cell"]], rows[r["cell"]] = r["radius"], r["n"]
-    return Cells(refs, pivots, radius, rows)
-
-
-def _reachable(cells: Cells, skip_own: bool):
-    """Cells that can hold a vector within ``limit`` of the query."""
-    pivots, radius, rows = cells.pivots, cells.radius, cells.rows
+
+def _blocks(vectors: DataFrame, tree: Tree, rows_per_cell: int) -> DataFrame:
+    """``vectors`` (vid, vec, m) as blocks of at most ``rows_per_cell`` rows, one row a block."""
+
+    @F.pandas_udf("int")
+    def top(vec: pd.Series) -> pd.Series:
+        return pd.Series(tree.place(_matrix(vec)) if len(vec) else [], dtype="int32")
+
+    def split(part: pd.DataFrame) -> pd.DataFrame:
+        x, out = _matrix(part["vec"]), []
+        ids, marks = part["vid"].to_numpy(), part["m"].to_numpy()
+        stack = [np.lexsort((ids,))]
+        while stack:
+            rows = stack.pop()
+            some = x[rows]
+            if len(rows) > rows_per_cell:
+                dim = int(some.std(axis=0).argmax())
+                order = np.argsort(some[:, dim], kind="stable")
+                stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+                continue
+            out.append(
+                (int(part["top"].iloc[0]), len(out), some.min(axis=0), some.max(axis=0), ids[rows], marks[rows], some.ravel())
+            )
+        return pd.DataFrame(out, columns=["top", "leaf", "low", "high", "ids", "marks", "flat"])
+
+    placed = vectors.select("vid", "vec", "m", top("vec").alias("top"))
+    return placed.groupBy("top").applyInPandas(split, _BLOCK)
+
+
+def build_cells(vectors: DataFrame, rows_per_cell: int = ROWS_PER_CELL, rows_per_top: int = ROWS_PER_TOP) -> Cells:
+    """Cut the space of ``vectors`` (vid, vec, m) and store them as blocks.
+
+    The number of top cells follows the number of rows, without a limit.
+    """
+    vectors = written(vectors.select("vid", "vec", F.col("m").cast("bigint").alias("m")), "vectors")
+    depth = max(0, (max(vectors.count(), 1) - 1) // rows_per_top).bit_length()
+    drawn = vectors.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_PER_TOP << depth).select("vec").collect()
+    sample = np.array([r["vec"] for r in drawn], dtype="float64").reshape(len(drawn), len(drawn[0]["vec"]) if drawn else 0)
+    tree = _grow(sample, depth)
+    blocks = written(_blocks(vectors, tree, rows_per_cell), "blocks")
+    d = sample.shape[1]
+    edges = [F.min(F.col("low")[j]).alias(f"l{j}") for j in range(d)] + [F.max(F.col("high")[j]).alias(f"h{j}") for j in range(d)]
+    low, high = np.full((1 << depth, d), np.inf), np.full((1 << depth, d), -np.inf)
+    for r in blocks.groupBy("top").agg(F.lit(0).alias("z"), *edges).collect():
+        low[r["top"]], high[r["top"]] = r[2 : 2 + d], r[2 + d :]
+    return Cells(vectors, blocks, tree, low, high, rows_per_cell)
+
+
+def _query_blocks(cells: Cells, queries: DataFrame | None) -> DataFrame:
+    """Blocks of queries: (top, leaf, low, high, ids, flat)."""
+    if queries is None:
+        return cells.blocks
+    marked = queries.select("vid", "vec", F.lit(0).cast("bigint").alias("m"))
+    return written(_blocks(marked, cells.tree, cells.rows_per_cell), "query-blocks")
+
+
+def _gap(low: str, high: str, other_low: str, other_high: str) -> Column:
+    """Distance between two boxes."""
+    apart = F.zip_with(
+        F.zip_with(low, other_high, lambda a, b: a - b),
+        F.zip_with(other_low, high, lambda a, b: a - b),
+        lambda a, b: F.greatest(a, b, F.lit(0.0)),
+    )
+    return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda acc, v: acc + v * v))
+
+
+def _pairs(queries: DataFrame, cells: Cells) -> DataFrame:
+    """(q_top, q_leaf, top, leaf, gap) of query blocks (with ``bound``) and leaves not further away than the bound."""
+    low, high = cells.low, cells.high
 
     @F.pandas_udf("array<int>")
-    def targets(vec: pd.Series, cell: pd.Series, limit: pd.Series) -> pd.Series:
+    def tops(q_low: pd.Series, q_high: pd.Series, bound: pd.Series) -> pd.Series:
         out = []
-        q = np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, pivots.shape[1]))
-        limits, own = limit.fillna(np.inf).to_numpy(), cell.to_numpy()
-        for at in range(0, len(q), _QUERY_ROWS):
-            block = slice(at, at + _QUERY_ROWS)
-            d = _distances(q[block], pivots)
-            some, place = np.unique(own[block], return_inverse=True)
-            gaps = _distances(pivots[some], pivots)[place]
-            # Distance to the plane halfway between the own and the other pivot.
-            mine = d[np.arange(len(d)), own[block]][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - mine * mine) / (2 * gaps)
-            low = np.maximum(d - radius, np.where(np.isfinite(plane), plane, 0.0))
-            near = (low <= limits[block][:, None] + 1e-9 * (1.0 + d)) & (rows > 0)
-            if skip_own:
-                near[np.arange(len(d)), own[block]] = False
-            out += [np.flatnonzero(row).astype("int32") for row in near]
+        for a, b, most in zip(q_low, q_high, bound):
+            apart = np.maximum(np.maximum(low - b, a - high), 0.0)
+            near = np.sqrt((apart * apart).sum(axis=1)) <= most * (1 + 1e-9)
+            out.append(np.flatnonzero(near).astype("int32"))
         return pd.Series(out)
 
-    return targets
+    asked = queries.select(
+        F.col("top").alias("q_top"),
+        F.col("leaf").alias("q_leaf"),
+        F.col("low").alias("q_low"),
+        F.col("high").alias("q_high"),
+        "bound",
+    )
+    reached = asked.withColumn("top", F.explode(tops("q_low", "q_high", "bound")))
+    leaves = cells.blocks.select("top", "leaf", "low", "high")
+    gap = _gap("q_low", "q_high", "low", "high")
+    return (
+        reached.join(leaves, "top")
+        .select("q_top", "q_leaf", "top", "leaf", gap.alias("gap"), "bound")
+        .filter("gap <= bound * (1 + 1e-9)")
+        .drop("bound")
+    )
+
+
+Local = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def _probe(queries: DataFrame, cells: Cells, local, schema: str, rows_per_chunk: int) -> DataFrame:
-    """Run ``local(query block, reference block)`` for every targeted chunk.
+def _meet(
+    pairs: DataFrame, queries: DataFrame, cells: Cells, local: Local, schema: str, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Run ``local(ids, bounds, distances, ref ids, ref marks)`` for the queries of each pair that reach its leaf.
 
-    ``queries`` has ``(vid, vec, target)``. Chunk numbers follow the known sizes
-    of the targeted cells and the counted sizes of their query sets.
+    ``queries`` has (top, leaf, ids, flat, bounds). Only ids, vectors and bounds of queries whose
+    own distance to the leaf's box is within their bound travel to the leaf.
     """
-    spark = queries.sparkSession
-    asked = {r["target"]: r["n"] for r in queries.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [
-        (c, -(-int(cells.rows[c]) // rows_per_chunk), -(-int(n) // rows_per_chunk))
-        for c, n in asked.items()
-    ]
-    # One row per cell, at most MAX_PIVOTS rows.
-    sizes = F.broadcast(spark.createDataFrame(plan, "target int, ref_chunks int, query_chunks int"))
-    left = (
-        queries.join(sizes, "target")
-        .withColumn("query_chunk", F.pmod(F.xxhash64("vid", F.lit(1)), F.col("query_chunks")))
-        .withColumn("ref_chunk", F.explode(F.sequence(F.lit(0), F.col("ref_chunks") - 1)))
-        .select("target", "query_chunk", F.col("ref_chunk").cast("bigint").alias("ref_chunk"), "vid", "vec")
-    )
-    right = (
-        cells.refs.withColumnRenamed("cell", "target")
-        .join(sizes, "target")
-        .withColumn("ref_chunk", F.pmod(F.xxhash64("vid", F.lit(2)), F.col("ref_chunks")))
-        .withColumn("query_chunk", F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)))
-        .select(
-            "target",
-            F.col("query_chunk").cast("bigint").alias("query_chunk"),
-            "ref_chunk",
-            F.col("vid").alias("ref_id"),
-            F.col("vec").alias("ref_vec"),
-            F.col("m").alias("copies"),
+    boxes = cells.blocks.select("top", "leaf", "low", "high")
+    sent = (
+        pairs.select("q_top", "q_leaf", "top", "leaf")
+        .join(boxes, ["top", "leaf"])
+        .join(
+            queries.select(F.col("top").alias("q_top"), F.col("leaf").alias("q_leaf"), "ids", "flat", "bounds"),
+            ["q_top", "q_leaf"],
         )
+        .select("top", "leaf", "low", "high", "ids", "flat", "bounds")
     )
-    by = ["target", "query_chunk", "ref_chunk"]
 
-    def blocks(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(q) and len(r):
-            ref = np.stack(r["ref_vec"].to_numpy())
-            ids, copies = r["ref_id"].to_numpy(), r["copies"].to_numpy()
-            for at in range(0, len(q), _QUERY_ROWS):
-                some = q.iloc[at : at + _QUERY_ROWS]
-                d = _distances(np.stack(some["vec"].to_numpy()), ref)
-                parts.append(local(some["vid"].to_numpy(), d, ids, copies))
-        names = [field.split()[0] for field in schema.split(", ")]
-        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x = r.flat.reshape(len(r.ids), -1)
+                apart = np.maximum(np.maximum(r.low - x, x - r.high), 0.0)
+                near = np.sqrt((apart * apart).sum(axis=1)) <= r.bounds * (1 + 1e-9)
+                if near.any():
+                    out.append((r.top, r.leaf, r.ids[near], x[near].ravel(), r.bounds[near]))
+            yield pd.DataFrame(out, columns=["top", "leaf", "ids", "flat", "bounds"])
+
+    asked = sent.mapInPandas(reach, "top int, leaf int, ids array<bigint>, flat array<double>, bounds array<double>")
+    refs = cells.blocks.select("top", "leaf", F.col("ids").alias("ref_ids"), "marks", F.col("flat").alias("ref_flat"))
+    met = asked.join(refs, ["top", "leaf"]).drop("top", "leaf")
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                ref = r.ref_flat.reshape(len(r.ref_ids), -1)
+                x = r.flat.reshape(len(r.ids), -1)
+                for at in range(0, len(x), rows_per_chunk):
+                    some = slice(at, at + rows_per_chunk)
+                    out.append(local(r.ids[some], r.bounds[some], _distances(x[some], ref), r.ref_ids, r.marks))
+            yield pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(blocks, schema)
+    return met.mapInPandas(compare, schema)
 
 
-def _nearest_block(k: int, exclude_self: bool):
-    def local(q_ids, d, ids, copies):
+def _nearest_block(k: int, exclude_self: bool) -> Local:
+    def local(q_ids, bounds, d, ids, copies):
         keep = min(len(ids), k + 1)
-        out_q, out_v, out_d, out_m = [], [], [], []
-        for i, row in enumerate(d):
-            near = np.argpartition(row, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-            # Equal distances at the edge are settled by the smaller id.
-            edge = row[near].max()
-            near = np.flatnonzero(row <= edge)
-            near = near[np.lexsort((ids[near], row[near]))][:keep]
-            m = copies[near].copy()
-            if exclude_self:
-                m = m - (ids[near] == q_ids[i])
-            near, m = near[m > 0], m[m > 0]
-            out_q.append(np.full(len(near), q_ids[i]))
-            out_v.append(ids[near])
-            out_d.append(row[near])
-            out_m.append(m)
-        return pd.DataFrame(
-            {
-                "vid": np.concatenate(out_q),
-                "neighbor": np.concatenate(out_v),
-                "distance": np.concatenate(out_d),
-                "m": np.concatenate(out_m),
-            }
-        )
+        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(d), 1))
+        # equal distances at the edge are settled by the smaller id, so all of them stay
+        edge = np.minimum(np.take_along_axis(d, near, 1).max(axis=1), bounds)
+        q, r = np.nonzero(d <= edge[:, None])
+        m = copies[r] - (ids[r] == q_ids[q]) if exclude_self else copies[r]
+        q, r, m = q[m > 0], r[m > 0], m[m > 0]
+        return pd.DataFrame({"vid": q_ids[q], "neighbor": ids[r], "distance": d[q, r], "m": m})
 
     return local
 
@@ -219,12 +284,18 @@ def _merge(rows: DataFrame, k: int) -> DataFrame:
     return merged.select("vid", F.filter(used, lambda x: x["n"] > 0).alias("neighbors"))
 
 
-def knn(
-    cells: Cells,
-    k: int,
-    queries: DataFrame | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-) -> DataFrame:
+def _bounded(blocks: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Query blocks with the distance of each query's k-th neighbour so far, and the largest of them."""
+    total = F.aggregate("neighbors", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    far = F.lit(float("inf"))
+    limit = near.select("vid", F.when(total >= k, F.element_at("neighbors", -1)["distance"]).otherwise(far).alias("limit"))
+    flat = blocks.select("top", "leaf", F.posexplode("ids").alias("at", "vid")).join(limit, "vid", "left")
+    limits = F.array_sort(F.collect_list(F.struct("at", F.coalesce("limit", far).alias("limit"))))
+    bounds = flat.groupBy("top", "leaf").agg(limits["limit"].alias("bounds"))
+    return blocks.join(bounds, ["top", "leaf"]).withColumn("bound", F.array_max("bounds"))
+
+
+def knn(cells: Cells, k: int, queries: DataFrame | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Exact ``k`` nearest references per query vector.
 
     Returns ``(vid, neighbors)`` with ``neighbors`` an array of ``(distance,
@@ -232,43 +303,90 @@ def knn(
     references). Without ``queries`` the references query themselves and a
     vector does not count as its own neighbour, but its copies do.
     """
-    own = queries is None
-    rows = cells.refs if own else written(_assign(queries, cells.pivots), "queries")
-    rows = rows.select("vid", "vec", "cell")
-    local = _nearest_block(k, own)
+    local = _nearest_block(k, queries is None)
     schema = "vid bigint, neighbor bigint, distance double, m bigint"
-    first = written(
-        _probe(
-            rows.select("vid", "vec", F.col("cell").alias("target")).filter(
-                F.col("cell").isin([int(c) for c in np.flatnonzero(cells.rows)])
-            ),
-            cells,
-            local,
-            schema,
-            rows_per_chunk,
-        ),
-        "near",
+    blocks = _query_blocks(cells, queries)
+    ranked = F.row_number().over(Window.partitionBy("q_top", "q_leaf").orderBy("gap", "top", "leaf"))
+
+    # the nearest leaves of the own top cell, without a bound yet
+    endless = blocks.withColumns(
+        {"bounds": F.transform("ids", lambda i: F.lit(float("inf"))), "bound": F.lit(float("inf"))}
     )
-    found = _merge(first, k)
-    total = F.aggregate("neighbors", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-    limit = F.when(total >= k, F.element_at("neighbors", -1)["distance"])
-    bounded = rows.join(found.select("vid", limit.alias("limit")), "vid", "left")
-    target = _reachable(cells, skip_own=True)("vec", "cell", F.col("limit").cast("double"))
-    others = written(bounded.select("vid", "vec", F.explode(target).alias("target")), "targets")
-    second = _probe(others, cells, local, schema, rows_per_chunk)
-    return _merge(first.unionByName(second), k)
+    own = endless.select(
+        "top", F.col("leaf").alias("q_leaf"), F.col("low").alias("q_low"), F.col("high").alias("q_high")
+    ).join(cells.blocks.select("top", "leaf", "low", "high"), "top")
+    first = own.select(F.col("top").alias("q_top"), "q_leaf", "top", "leaf", _gap("q_low", "q_high", "low", "high").alias("gap"))
+    first = written(first.withColumn("r", ranked).filter(F.col("r") <= FIRST_LEAVES).drop("r"), "first-leaves")
+    found = written(_meet(first, endless, cells, local, schema, rows_per_chunk), "near")
+
+    # the leaves within the bound: the nearest few, then what the smaller bound leaves
+    asked = written(_bounded(blocks, _merge(found, k), k), "bounded")
+    rest = _pairs(asked, cells).join(first.drop("gap"), ["q_top", "q_leaf", "top", "leaf"], "left_anti")
+    rest = written(rest.withColumn("r", ranked), "second-leaves")
+    second = rest.filter(F.col("r") <= SECOND_LEAVES)
+    found = found.unionByName(written(_meet(second, asked, cells, local, schema, rows_per_chunk), "near"))
+    last = rest.filter(F.col("r") > SECOND_LEAVES)
+    if last.isEmpty():
+        return _merge(found, k)
+    asked = written(_bounded(blocks, _merge(found, k), k), "bounded")
+    limit = asked.select(F.col("top").alias("q_top"), F.col("leaf").alias("q_leaf"), "bound")
+    last = last.join(limit, ["q_top", "q_leaf"]).filter("gap <= bound * (1 + 1e-9)").drop("bound")
+    return _merge(found.unionByName(_meet(last, asked, cells, local, schema, rows_per_chunk)), k)
+
+
+def _within(cells: Cells, radius: float, queries: DataFrame | None, local: Local, schema: str, rows_per_chunk: int) -> DataFrame:
+    same = F.lit(float(radius))
+    blocks = _query_blocks(cells, queries).withColumns({"bounds": F.transform("ids", lambda i: same), "bound": same})
+    return _meet(_pairs(blocks, cells), blocks, cells, local, schema, rows_per_chunk)
 
 
 def count_within(
     cells: Cells, radius: float, queries: DataFrame | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """``(vid, n)``: references (with copies, and the query itself if it is one) within ``radius``."""
-    rows = cells.refs if queries is None else _assign(queries, cells.pivots)
-    target = _reachable(cells, skip_own=False)("vec", "cell", F.lit(float(radius)))
-    asked = written(rows.select("vid", "vec", F.explode(target).alias("target")), "targets")
+    """``(vid, n)``: references (with copies, and the query itself if it is one) within ``radius``; queries with none may be absent."""
 
-    def local(q_ids, d, ids, copies):
+    def local(q_ids, bounds, d, ids, copies):
         return pd.DataFrame({"vid": q_ids, "n": (d <= radius) @ copies})
 
-    counted = _probe(asked, cells, local, "vid bigint, n bigint", rows_per_chunk)
+    counted = _within(cells, radius, queries, local, "vid bigint, n bigint", rows_per_chunk)
     return counted.groupBy("vid").agg(F.sum("n").alias("n"))
+
+
+def least_within(cells: Cells, radius: float, queries: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``(vid, least)``: smallest ``m`` of the references within ``radius``; queries without any are absent."""
+
+    def local(q_ids, bounds, d, ids, marks):
+        near = d <= radius
+        has = near.any(axis=1)
+        least = np.where(near, marks[None, :], np.iinfo("int64").max).min(axis=1)
+        return pd.DataFrame({"vid": q_ids[has], "least": least[has]})
+
+    found = _within(cells, radius, queries, local, "vid bigint, least bigint", rows_per_chunk)
+    return found.groupBy("vid").agg(F.min("least").alias("least"))
+
+
+def links_within(cells: Cells, radius: float, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``(src, dst)`` links that connect the references as all pairs within ``radius`` do.
+
+    Two leaves that meet give a forest over the rows they hold, so links are
+    fewer than those rows, however dense the leaves are.
+    """
+    most = np.iinfo("int64").max
+
+    def local(q_ids, bounds, d, ids, marks):
+        near = d <= radius
+        mine, theirs = q_ids.copy(), ids.copy()
+        while True:
+            # smallest label among the rows each row touches, on both sides in turn
+            right = np.minimum(theirs, np.where(near, mine[:, None], most).min(axis=0))
+            left = np.minimum(mine, np.where(near, right[None, :], most).min(axis=1))
+            if (left == mine).all() and (right == theirs).all():
+                break
+            mine, theirs = left, right
+        src, dst = np.concatenate([q_ids, ids]), np.concatenate([mine, theirs])
+        return pd.DataFrame({"src": src[src != dst], "dst": dst[src != dst]})
+
+    same = F.lit(float(radius))
+    blocks = cells.blocks.withColumns({"bounds": F.transform("ids", lambda i: same), "bound": same})
+    once = _pairs(blocks, cells).filter("struct(q_top, q_leaf) <= struct(top, leaf)")
+    return _meet(once, blocks, cells, local, "src bigint, dst bigint", rows_per_chunk)

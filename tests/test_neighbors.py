@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from fleetpulse.operators import anomaly, neighbors
+from fleetpulse.operators import anomaly, graphs, neighbors
 
 
 def points(n=400, d=3, seed=1, copies=60):
@@ -81,6 +81,47 @@ def test_density_noise(spark, eps, min_points):
     assert got.sort_values("id")["noise"].tolist() == expected.tolist()
 
 
+def brute_labels(x, eps, min_points):
+    d = distances(x, x) <= eps
+    core = d.sum(axis=1) >= min_points
+    label = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        near = np.where(d & core[None, :], label[None, :], len(x)).min(axis=1)
+        if (near[core] == label[core]).all():
+            return np.where(near == len(x), -1, near)
+        label[core] = near[core]
+
+
+@pytest.mark.parametrize("eps,min_points,cell", [(0.5, 5, 256), (0.2, 4, 16), (20.0, 5, 32), (1e-6, 5, 256), (1e-9, 500, 256)])
+def test_dbscan_labels(spark, eps, min_points, cell, monkeypatch):
+    monkeypatch.setattr(neighbors.build_cells, "__defaults__", (cell, 64))
+    data = points()
+    cols = ["x0", "x1", "x2"]
+    got = anomaly.dbscan_labels(spark.createDataFrame(data), cols, "id", eps, min_points).toPandas()
+    assert got.sort_values("id")["cluster"].tolist() == brute_labels(data[cols].to_numpy(), eps, min_points).tolist()
+
+
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(0, 300)] + [(1000 - i, 999 - i) for i in range(0, 90)] + [(5000, 5000), (7, 7)]
+    star = [(2000, 2000 + i) for i in range(1, 200)]
+    links = spark.createDataFrame(chain + star, "src long, dst long")
+    got = {r["node"]: r["label"] for r in graphs.components(links).collect()}
+    want = {i: 0 for i in range(301)} | {i: 910 for i in range(910, 1001)} | {2000 + i: 2000 for i in range(200)}
+    assert got == want
+
+
+def test_many_top_cells_give_exact_neighbours(spark):
+    data = points(600, copies=0)
+    cols = ["x0", "x1", "x2"]
+    x = data[cols].to_numpy()
+    cells = neighbors.build_cells(neighbors.distinct_vectors(spark.createDataFrame(data), cols, "id"), 8, 40)
+    assert cells.tree.depth == 4
+    d = distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    for r in neighbors.knn(cells, 7).collect():
+        assert np.allclose([n["distance"] for n in r["neighbors"]], np.sort(d[r["vid"]])[:7], atol=1e-12)
+
+
 def brute_lof(train, test, k):
     d = distances(train, train)
     np.fill_diagonal(d, np.inf)
