@@ -453,6 +453,12 @@ def one_class_svm(
 # Synthetic minority rows
 
 
+def drawn(number: Column, tag: str, seed: int, sides: Column | int) -> Column:
+    """A repeatable draw from 0 to ``sides - 1`` for each number: the first 32 bits of an MD5, which every SQL engine has."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), number.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(sides) if isinstance(sides, int) else sides)
+
+
 def smote(
     df: DataFrame,
     features: Sequence[str],
@@ -485,16 +491,12 @@ def smote(
     )
     lists = cells.refs.select("vid", "vec").join(near.select("vid", edges.alias("edges")), "vid")
     numbered = add_ordinal(small, "key", name="place")
-    drawn = (
-        df.sparkSession.range(missing)
-        .select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(few)).alias("place"))
-        .select(
-            "place",
-            F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 20)).alias("turn"),
-            (F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"),
-        )
+    draws = df.sparkSession.range(missing).select(
+        drawn(F.col("id"), "place", seed, few).alias("place"),
+        drawn(F.col("id"), "turn", seed, 1 << 20).alias("turn"),
+        (drawn(F.col("id"), "step", seed, 1 << 30) / F.lit(float(1 << 30))).alias("u"),
     )
-    based = numbered.join(drawn, "place").join(lists, "vec")
+    based = numbered.join(draws, "place").join(lists, "vec")
     chosen = F.element_at("edges", (F.col("turn") % F.size("edges") + 1).cast("int"))
     other = cells.refs.select(F.col("vid").alias("neighbor"), F.col("vec").alias("other"))
     mixed = (

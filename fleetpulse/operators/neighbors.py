@@ -23,10 +23,12 @@ from pyspark.sql.window import Window
 from fleetpulse.session import written
 
 ROWS_PER_CELL = 256
-ROWS_PER_TOP = 1 << 14
+ROWS_PER_TOP = 1 << 13
 #: Rows of the sample for each top cell; the sample is all that reaches the driver.
 SAMPLE_PER_TOP = 16
 ROWS_PER_CHUNK = 8000
+#: Query blocks that a task compares with one leaf; a leaf that more of them ask is repeated.
+ASKERS_PER_LOT = 64
 #: Leaves asked in the first round, all in the query's own top cell, and at most in the second.
 FIRST_LEAVES = 2
 SECOND_LEAVES = 8
@@ -211,15 +213,20 @@ def _meet(
     ``queries`` has (top, leaf, ids, flat, bounds). Only ids, vectors and bounds of queries whose
     own distance to the leaf's box is within their bound travel to the leaf.
     """
-    boxes = cells.blocks.select("top", "leaf", "low", "high")
+    spark = pairs.sparkSession
+    # The number of tasks follows the work, which bytes do not show.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("q_top", "q_leaf", "top", "leaf")
+    lots = pairs.groupBy("top", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKERS_PER_LOT)).cast("int").alias("lots"))
+    boxes = cells.blocks.select("top", "leaf", "low", "high").join(lots, ["top", "leaf"])
     sent = (
-        pairs.select("q_top", "q_leaf", "top", "leaf")
-        .join(boxes, ["top", "leaf"])
+        pairs.join(boxes, ["top", "leaf"])
+        .withColumn("lot", F.pmod(F.xxhash64("q_top", "q_leaf"), F.col("lots")).cast("int"))
         .join(
             queries.select(F.col("top").alias("q_top"), F.col("leaf").alias("q_leaf"), "ids", "flat", "bounds"),
             ["q_top", "q_leaf"],
         )
-        .select("top", "leaf", "low", "high", "ids", "flat", "bounds")
+        .select("top", "leaf", "lot", "low", "high", "ids", "flat", "bounds")
     )
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,12 +237,14 @@ def _meet(
                 apart = np.maximum(np.maximum(r.low - x, x - r.high), 0.0)
                 near = np.sqrt((apart * apart).sum(axis=1)) <= r.bounds * (1 + 1e-9)
                 if near.any():
-                    out.append((r.top, r.leaf, r.ids[near], x[near].ravel(), r.bounds[near]))
-            yield pd.DataFrame(out, columns=["top", "leaf", "ids", "flat", "bounds"])
+                    out.append((r.top, r.leaf, r.lot, r.ids[near], x[near].ravel(), r.bounds[near]))
+            yield pd.DataFrame(out, columns=["top", "leaf", "lot", "ids", "flat", "bounds"])
 
-    asked = sent.mapInPandas(reach, "top int, leaf int, ids array<bigint>, flat array<double>, bounds array<double>")
+    by = ["top", "leaf", "lot"]
+    asked = sent.mapInPandas(reach, "top int, leaf int, lot int, ids array<bigint>, flat array<double>, bounds array<double>")
     refs = cells.blocks.select("top", "leaf", F.col("ids").alias("ref_ids"), "marks", F.col("flat").alias("ref_flat"))
-    met = asked.join(refs, ["top", "leaf"]).drop("top", "leaf")
+    copies = refs.join(lots, ["top", "leaf"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    met = asked.repartition(tasks, *by).join(copies, by).drop(*by)
     names = [field.split()[0] for field in schema.split(", ")]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,12 +136,12 @@ def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     return models.permutation_importance(fitted, test, TABULAR_FEATURES, _LABEL, "udi")
 
 
-_DETECTED = ["process_temp_k", "power", "tool_torque_product"]
+_DETECTED = SEQUENCE_FEATURES
 
 
-def _scaled(spark: SparkSession, folder: str) -> DataFrame:
-    rows = physics.add_physics(views.readings(spark, folder)).select("udi", *_DETECTED)
-    return prep.fit_standard(rows, _DETECTED).transform(rows)
+def _scaled(spark: SparkSession, folder: str, cols: list[str] = _DETECTED) -> DataFrame:
+    rows = views.labelled_readings(spark, folder).select("udi", _LABEL, *cols)
+    return prep.fit_standard(rows, cols).transform(rows)
 
 
 @query("isolation_forest")
@@ -151,7 +152,7 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
 
 
-# The scaled columns, and all pairs of rows, as plain SQL.
+# The scaled columns, and the squared distance of two rows, as plain SQL.
 _STANDARD = ", ".join(
     f"({c} - avg({c}) over ()) / stddev_pop({c}) over () as x{i}" for i, c in enumerate(_DETECTED)
 )
@@ -161,8 +162,8 @@ _GAP = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(_D
 @query(
     "lof",
     sql_over(
-        "physics",
-        f"""with p as materialized (select udi, {_STANDARD} from physics),
+        "labelled",
+        f"""with p as materialized (select udi, {_STANDARD} from labelled),
         near as materialized (select a.udi,
             unnest(min({{'d': sqrt({_GAP}), 'id': b.udi}}, 20)) as n
           from p a join p b on a.udi <> b.udi group by a.udi),
@@ -174,7 +175,7 @@ _GAP = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(_D
     ),
 )
 def lof(spark: SparkSession, folder: str) -> DataFrame:
-    """Outlier factor of every reading among all readings (20 neighbours)."""
+    """Outlier factor of every reading among all readings (20 neighbours, all features)."""
     rows = _scaled(spark, folder)
     cells, _, factor = anomaly.local_outlier_factors(rows, _DETECTED, "udi", 20)
     found = cells.refs.select("vid", "vec").join(factor, "vid").select(F.col("vec").alias("v"), "factor")
@@ -191,22 +192,55 @@ def lof_novelty(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
 
 
+# Rows with five or more rows within the radius, themselves included.
+_CORE = f"""core as materialized (select a.* from p a join (select a.udi from p a join p b
+    on {_GAP} <= cast(0.25 as double) group by a.udi having count(*) >= 5) c using (udi))"""
+
+
 @query(
     "dbscan",
     sql_over(
-        "physics",
-        f"""with p as materialized (select udi, {_STANDARD} from physics),
-        core as materialized (select a.udi from p a join p b on {_GAP} <= cast(0.01 as double)
-          group by a.udi having count(*) >= 5),
-        touched as (select distinct a.udi from p a join (select p.* from p join core using (udi)) b
-          on {_GAP} <= cast(0.01 as double))
+        "labelled",
+        f"""with p as materialized (select udi, {_STANDARD} from labelled), {_CORE},
+        touched as (select distinct a.udi from p a join core b on {_GAP} <= cast(0.25 as double))
         select udi, cast(udi not in (select udi from touched) as int) as noise from p""",
     ),
 )
 def dbscan(spark: SparkSession, folder: str) -> DataFrame:
-    """Noise of density clustering with radius 0.1 and five rows."""
+    """Noise of density clustering with radius 0.5 and five rows, on all features."""
     rows = _scaled(spark, folder)
-    return anomaly.density_noise(rows, _DETECTED, "udi", 0.1, 5).select("udi", "noise")
+    return anomaly.density_noise(rows, _DETECTED, "udi", 0.5, 5).select("udi", "noise")
+
+
+@query(
+    "dbscan_labels",
+    sql_over(
+        "labelled",
+        f"""with p as materialized (select udi, {_STANDARD} from labelled), {_CORE},
+        link as materialized (select a.udi as src, b.udi as dst from core a join core b on {_GAP} <= cast(0.25 as double)),
+        reached(udi, label) using key (udi) as (
+          select udi, udi from core
+          union
+          select l.dst, min(n.label) from reached n join link l on l.src = n.udi
+            join recurring.reached o on o.udi = l.dst where n.label < o.label group by l.dst),
+        border as (select a.udi, min(r.label) as label from p a anti join core using (udi)
+          join core b on {_GAP} <= cast(0.25 as double) join reached r on r.udi = b.udi group by a.udi),
+        placed as (select * from reached union all select * from border)
+        select udi, coalesce(label, -1) as cluster, cast(label is null as int) as anomaly
+        from p left join placed using (udi)""",
+    ).replace("with ", "with recursive ", 1),
+)
+def dbscan_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Density cluster of every reading over its principal components, and the flag made of it.
+
+    All components are kept: they turn the scaled features, so distances are theirs.
+    """
+    rows = views.labelled_readings(spark, folder).select("udi", *_DETECTED)
+    reduced, _ = prep.scale_and_reduce(rows, rows.limit(0), _DETECTED, len(_DETECTED))
+    parts = vector_to_array("components")
+    flat = reduced.select("udi", *[parts[i].alias(f"c{i}") for i in range(len(_DETECTED))])
+    found = anomaly.dbscan_labels(flat, [f"c{i}" for i in range(len(_DETECTED))], "udi", 0.5, 5)
+    return found.select("udi", "cluster", physics.cluster_anomaly(F.col("cluster")).alias("anomaly"))
 
 
 @query("ocsvm")
@@ -217,32 +251,32 @@ def ocsvm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("udi", "score", anomaly.flagged(F.col("score")).alias("anomaly"))
 
 
+def _draw(tag: str, sides: str) -> str:
+    return f"(cast('0x' || substr(md5('42:{tag}:' || id), 1, 8) as bigint) % {sides})"
+
+
 @query(
     "smote",
     sql_over(
         "labelled",
-        """with c as (select machine_failure, count(*) as n from labelled group by 1)
-        select machine_failure, 0 as synthetic, n, 0 as n_outside from c
-        union all select 1, 1, max(n) - min(n), 0 from c""",
+        f"""with p as materialized (select udi, machine_failure, {_STANDARD} from labelled),
+        few as materialized (select *, row_number() over (order by udi) - 1 as place from p where machine_failure = 1),
+        near as materialized (select a.udi, unnest(min({{'d': sqrt({_GAP}), 'id': b.udi}}, 5)) as n
+          from few a join few b on a.udi <> b.udi group by a.udi),
+        edge as (select udi, list(n.id order by n.d, n.id) as ids from near group by udi),
+        size as (select count(*) filter (where machine_failure = 1) as n1, count(*) filter (where machine_failure = 0) as n0 from p),
+        draws as (select {_draw("place", "n1")} as place, {_draw("turn", "1048576")} as turn,
+            cast({_draw("step", "1073741824")} as double) / 1073741824 as u
+          from (select unnest(range(n0 - n1)) as id, n1 from size))
+        select machine_failure, 0 as synthetic, {", ".join(f"round(x{i}, 5) as {c}" for i, c in enumerate(_DETECTED))} from p
+        union all select 1, 1, {", ".join(f"round(a.x{i} + u * (b.x{i} - a.x{i}), 5)" for i in range(len(_DETECTED)))}
+        from draws join few a using (place) join edge on edge.udi = a.udi join few b on b.udi = ids[turn % len(ids) + 1]""",
     ),
 )
 def smote(spark: SparkSession, folder: str) -> DataFrame:
-    """Class counts with new rows, and new rows outside the minority's value ranges."""
-    rows = views.labelled_readings(spark, folder)
-    cols = ["temp_diff", "power", "tool_torque_product"]
-    made = anomaly.smote(rows, cols, _LABEL, "udi")
-    low = {c: F.min(F.when(F.col(_LABEL) == 1, F.col(c))) for c in cols}
-    high = {c: F.max(F.when(F.col(_LABEL) == 1, F.col(c))) for c in cols}
-    edge = rows.agg(
-        *[v.alias(f"{c}_low") for c, v in low.items()], *[v.alias(f"{c}_high") for c, v in high.items()]
-    ).first()
-    outside = F.lit(False)
-    for c in cols:
-        outside = outside | ~F.col(c).between(edge[f"{c}_low"] - 1e-9, edge[f"{c}_high"] + 1e-9)
-    return made.groupBy(_LABEL, "synthetic").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(outside & (F.col(_LABEL) == 1)).cast("int").alias("n_outside"),
-    )
+    """Scaled readings and new failure rows, each between a failure and one of its five nearest."""
+    made = anomaly.smote(_scaled(spark, folder), _DETECTED, _LABEL, "udi")
+    return made.select(_LABEL, "synthetic", *[F.round(c, 5).alias(c) for c in _DETECTED])
 
 
 @query("anomaly_cross_validation")
