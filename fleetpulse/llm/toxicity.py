@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
 from fleetpulse.llm.langid import held_out
+from fleetpulse.session import written
 
 #: Labelled documents learned from, half of each label as far as there are as many, and characters
 #: of the longest of them. Both bound the fit on the driver.
@@ -113,23 +114,21 @@ class Bags:
             np.cumsum(sizes) - sizes,
             np.array(words, np.int32),
             np.cumsum(per_sentence) - per_sentence,
-            np.repeat(np.arange(len(lengths)), per_sentence),
-            np.array([s for f in flat for s in f], np.int64),
+            np.repeat(np.arange(len(lengths), dtype=np.int32), per_sentence),
+            np.array([s for f in flat for s in f], np.int32),
             np.cumsum(per_word) - per_word,
-            np.repeat(np.arange(len(flat)), per_word),
+            np.repeat(np.arange(len(flat), dtype=np.int32), per_word),
         )
 
     def documents_of_stems(self) -> np.ndarray:
         """For every bucket the number of documents that have it."""
-        document = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.sentence]
-        n = len(self.stem_starts)
-        pairs = np.unique(document * n + self.words)
-        at, word = pairs // n, pairs % n
-        per_word = np.bincount(self.stem_word, minlength=n)
-        many = per_word[word]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        bucket = self.stems[np.repeat(self.stem_starts[word], many) + step]
-        return np.bincount(np.unique(np.repeat(at, many) * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
+        out = np.zeros(BUCKETS, np.int64)
+        ends = np.append(self.starts, len(self.words))
+        word_ends = np.append(self.stem_starts, len(self.stems))
+        for first, size in zip(self.firsts, self.sizes):
+            words = np.unique(self.words[ends[first] : ends[first + size]])
+            out[np.unique(np.concatenate([self.stems[word_ends[w] : word_ends[w + 1]] for w in words]))] += 1
+        return out
 
 
 def train(bags: Sequence[Sequence[str]], labels: Sequence[int]) -> Model:
@@ -177,28 +176,40 @@ def judge(text: str | None, model: Model, values: Values) -> tuple[float, list[t
     return float(1 - none), found
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from at most ``train_docs`` documents, half of each label as far as there are as many.
+def sample(labels: DataFrame, key: str = "doc_id", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """(key, label, order) of labelled keys to learn from, somewhat more than ``train_docs``: half of each label, as far as there are as many.
 
-    ``rows`` has one row a document. Which are taken is settled by a hash of the
-    key. Texts of over BAG_CHARS characters, null and empty ones teach nothing.
-    Sentences are found on the executors.
+    A key labelled both ways is toxic; null keys and labels other than 0 and 1 are
+    left out. A hash of the key settles which are taken.
     """
-    usable = F.col(label).isin(0, 1) & F.length(text).between(1, BAG_CHARS)
-    known = rows.where(usable).select(
-        F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit("toxic sample"), key).alias("order")
-    )
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
+    known = usable.groupBy(key).agg(F.max(label).alias(label))
+    counts = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
     few = min(counts.get(1, 0), train_docs // 2)
     each = {1: max(few, train_docs - counts.get(0, 0)), 0: train_docs - few}
-    # a little more than needed by a threshold on the hash, then exactly that many
-    share = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
+    order = F.xxhash64(F.lit("toxic sample"), key)
+    share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     wanted = F.lit(0.0)
     for found, n in counts.items():
-        wanted = F.when(F.col("label") == found, F.lit(min(1.0, (1.3 * each[found] + 50) / n))).otherwise(wanted)
-    first = F.row_number().over(W.partitionBy("label").orderBy("order", "text"))
-    most = F.when(F.col("label") == 1, F.lit(each[1])).otherwise(F.lit(each[0]))
-    chosen = known.where(share < wanted).withColumn("nth", first).where(F.col("nth") <= most)
+        wanted = F.when(F.col(label) == found, F.lit(min(1.0, (1.25 * each[found] + 50) / n))).otherwise(wanted)
+    most = F.when(F.col(label) == 1, F.lit(each[1])).otherwise(F.lit(each[0]))
+    return known.withColumns({"order": order, "most": most}).where(share < wanted)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
+    """Learn from at most ``train_docs`` labelled documents.
+
+    The keys are drawn from the labels alone and sent to the documents, so no text
+    is moved but those learned from. Of different texts under one key one is taken
+    by its hash. Texts of over BAG_CHARS characters, null and empty ones teach
+    nothing. Sentences are found on the executors.
+    """
+    # about 1.25 * train_docs rows of a key and three numbers
+    drawn = F.broadcast(written(sample(labels, key, label, train_docs), "toxic-sample"))
+    known = docs.select(key, text).join(drawn, key).where(F.length(text).between(1, BAG_CHARS))
+    one = known.groupBy(key, label, "order", "most").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    first = F.row_number().over(W.partitionBy(label).orderBy("order", key))
+    chosen = one.withColumn("nth", first).where("nth <= most").select(F.col(label).alias("label"), "nth", "text")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -231,18 +242,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias(key), judged(F.col(text)).alias("j")).select(key, "j.score", "j.offending")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """One text and label for each key that has both; a key labelled both ways is toxic.
-
-    Of different texts under one key one is taken by its hash. Both sides are
-    combined by key before they are joined, so a repeated key is one row.
-    """
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
-    texts = docs.where(F.col(key).isNotNull()).join(marks.select(key), key, "left_semi")
-    one = texts.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text))
-    return one.join(marks, key)
-
-
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of documents that are not held out.
 
@@ -250,8 +249,7 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    seen = labels.where(~held_out(F.col("doc_id")))
-    model = fit(labelled(docs, seen))
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -79,10 +79,14 @@ def test_edges(spark):
     docs = spark.createDataFrame([(r[0], r[1], "x") for r in rows], "doc_id long, text string, score string")
     marks = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(0, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     doubled = docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.limit(0))
-    learned = toxicity.labelled(doubled, marks)
-    assert learned.count() == 400 and learned.where("doc_id = 0").first()["toxic"] == 1
-    model = toxicity.fit(learned)
+    drawn = toxicity.sample(marks)
+    assert drawn.count() == 400 and drawn.where("doc_id = 0").first()["toxic"] == 1
+    few = toxicity.sample(marks, train_docs=40).groupBy("toxic").count().collect()
+    assert all(20 <= r["count"] <= 110 for r in few)
+    model = toxicity.fit(doubled, marks)
     assert model.learned
+    same = toxicity.fit(docs.repartition(5), marks)
+    assert (same.weights == model.weights).all() and same.bias == model.bias
     odd = [(1, None), (2, ""), (3, " .!?\n 123"), (None, "Balin zukk fe."), (5, "zukk " * 50_000), (6, "Balin dalin. " * 20_000), (6, "Balin dalin.")]
     out = toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
     got = {}
@@ -93,7 +97,8 @@ def test_edges(spark):
     assert got[None][0] > 0.7 and got[5][0] > 0.7
     assert got[6][0] == got[6][1] < 0.1
     assert toxicity.score(docs.limit(0), model).count() == 0
-    assert toxicity.fit(learned.limit(0)).learned is False
+    assert toxicity.fit(docs.limit(0), marks).learned is False
+    assert toxicity.fit(docs, marks.limit(0)).learned is False
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
