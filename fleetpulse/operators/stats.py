@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.distributions import chi2_p_value, ks_p_value, t_p_value
+from fleetpulse.functions.distributions import EXACT_ROWS, chi2_p_value, ks_p_value, t_p_value
 from fleetpulse.operators.ordering import (
     ROWS_PER_BUCKET,
     add_ordinal,
@@ -94,9 +94,13 @@ def t_test(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def ks_2samp(
-    a: DataFrame, b: DataFrame, cols: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
+    a: DataFrame,
+    b: DataFrame,
+    cols: Sequence[str],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value per column."""
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per column: exact for samples of up to ``exact_rows`` rows, else asymptotic."""
     cols = shared_columns(a, b, cols)
     long, many = unpivot(_both(a, b, cols), cols, ["first"], rows_per_bucket)
     run = running_totals(
@@ -112,7 +116,7 @@ def ks_2samp(
     return (
         run.groupBy("feature")
         .agg(F.max(gap).alias("ks"), F.max("all_a").alias("n1"), F.max("all_b").alias("n2"))
-        .withColumn("p_value", ks_p_value(F.col("ks"), F.col("n1"), F.col("n2")))
+        .withColumn("p_value", ks_p_value(F.col("ks"), F.col("n1"), F.col("n2"), exact_rows))
     )
 
 

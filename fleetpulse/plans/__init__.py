@@ -14,6 +14,7 @@ from fleetpulse.plans import (
     ordered,
     preparation,
     quality,
+    served,
     statistics,
     streams,
 )

@@ -118,7 +118,7 @@ def test_ks(spark, rows):
     x, y = (np.array([r["x"] for r in d.collect()]) for d in (a, b))
     grid = np.union1d(x, y)
     expected = max(abs((x <= g).mean() - (y <= g).mean()) for g in grid)
-    row = stats.ks_2samp(a, b, ["x", "absent"], rows).collect()
+    row = stats.ks_2samp(a, b, ["x", "absent"], rows, exact_rows=0).collect()
     assert len(row) == 1 and row[0]["ks"] == pytest.approx(expected)
     lam = expected * np.sqrt(75)
     series = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * lam * lam) for k in range(1, 101))
@@ -156,6 +156,28 @@ def test_p_value_tables():
     assert d.chi2_upper(0.0, 3) == 1.0
 
 
+def test_exact_ks_p_value(spark):
+    import itertools
+
+    from fleetpulse.functions import distributions as d
+
+    # Points of printed tables of two samples of equal size.
+    for n, gap, p in ((5, 5, 2 / 252), (5, 4, 20 / 252), (4, 4, 2 / 70), (8, 6, 0.0186), (10, 7, 0.0123)):
+        assert d.ks_exact(gap / n, n, n) == pytest.approx(p, abs=5e-5)
+    for m, n in ((3, 4), (5, 2), (4, 6), (1, 5)):
+        paths = []
+        for ups in itertools.combinations(range(m + n), m):
+            i = np.cumsum([k in ups for k in range(m + n)])
+            paths.append(np.abs(i * n - (np.arange(1, m + n + 1) - i) * m).max())
+        for reach in range(1, m * n + 1):
+            assert d.ks_exact(reach / (m * n), m, n) == pytest.approx(np.mean(np.array(paths) >= reach))
+    assert 0 < d.ks_exact(0.2, 3000, 2500) < 1e-40
+    assert d.ks_exact(0.05, 9000, 9000) == pytest.approx(2 * np.exp(-2 * 0.0025 * 4500), rel=0.1)
+    a, b = sets(spark)
+    row = stats.ks_2samp(a, b, ["x"]).first()
+    assert row["p_value"] == pytest.approx(d.ks_exact(row["ks"], 150, 150))
+
+
 def test_constant_category_has_no_freedom(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "i int, t string")
     row = stats.with_chi2_p(stats.chi2_paired(df, df, ["t"], ["i"])).first()
