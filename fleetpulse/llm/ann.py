@@ -33,6 +33,8 @@ COVER = 0.98
 QUERY_EVERY = 50
 NEAREST = 5
 BLOCK_ROWS = 4096
+#: Cosines that agree to so many decimals are ties.
+TIE_DIGITS = 12
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -216,16 +218,25 @@ def build_index(vectors: DataFrame, key: str, vector: str, kept: int) -> tuple[D
     return written(distinct.withColumn("part", part_of("v")), "ann-index"), router
 
 
-def best(query: np.ndarray, base: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n nearest rows of ``base`` for each query row, and their cosines, each computed alike wherever the rows stand."""
+def best(query: np.ndarray, base: np.ndarray, ids: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query row the n nearest rows of ``base``: places, cosines, and the cosines that rank them.
+
+    Cosines that agree to TIE_DIGITS decimals are ties and go to the smaller id:
+    the last digits depend on the length of a vector, not on its direction. Every
+    row that could be among the n is ranked by its own cosine, however many tie.
+    """
     n = min(n, len(base))
     rough = unit(query) @ unit(base).T
-    # a margin, as the last digits of the product depend on the block
-    wide = min(len(base), n + 8)
-    near = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
-    q, b = np.repeat(query, wide, axis=0), base[near.ravel()]
-    score = (q * b).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-    return near, score.reshape(near.shape)
+    least = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+    lengths = np.sqrt((base * base).sum(axis=1))
+    out = []
+    for q, row, edge in zip(query, rough, least):
+        near = np.flatnonzero(row >= edge - 2 * 10.0**-TIE_DIGITS)
+        score = (q * base[near]).sum(axis=1) / (np.sqrt((q * q).sum()) * lengths[near])
+        tie = np.round(score, TIE_DIGITS)
+        first = np.lexsort((ids[near], -tie))[:n]
+        out.append((near[first], score[first], tie[first]))
+    return out
 
 
 def search(index: DataFrame, router: Router, nearest: int = NEAREST) -> DataFrame:
@@ -255,20 +266,20 @@ def search(index: DataFrame, router: Router, nearest: int = NEAREST) -> DataFram
         out = []
         if len(left) and len(right):
             base_v, ids = stack(right["v"]), right["ids"].to_numpy()
+            firsts = np.array([i[0] for i in ids], np.int64)
             for start in range(0, len(left), 512):
                 some = left.iloc[start : start + 512]
-                near, score = best(stack(some["v"]), base_v, nearest + 1)
-                for vid, js, ss in zip(some["vid"], near, score):
-                    ranked = sorted(zip(-ss, (ids[j][0] for j in js), js))[: nearest + 1]
-                    out += [(vid, first, -s, ids[j]) for s, first, j in ranked]
-        return pd.DataFrame(out, columns=["vid", "first", "score", "ids"])
+                found = best(stack(some["v"]), base_v, firsts, nearest + 1)
+                for vid, (places, scores, ties) in zip(some["vid"], found):
+                    out += [(vid, firsts[j], t, s, ids[j]) for j, s, t in zip(places, scores, ties)]
+        return pd.DataFrame(out, columns=["vid", "first", "tie", "score", "ids"])
 
     by = ["part", "block", "lot"]
     met = queries.select("vid", "v", *by).groupBy(*by).cogroup(lots.select("v", "ids", *by).groupBy(*by))
-    found = met.applyInPandas(meet, "vid long, first long, score double, ids array<long>")
-    rank = F.row_number().over(W.partitionBy("vid").orderBy(F.desc("score"), "first"))
+    found = met.applyInPandas(meet, "vid long, first long, tie double, score double, ids array<long>")
+    rank = F.row_number().over(W.partitionBy("vid").orderBy(F.desc("tie"), "first"))
     top = found.withColumn("r", rank).where(F.col("r") <= nearest + 1)
-    single = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("neg"), i.alias("id")))
+    single = F.transform("ids", lambda i: F.struct((-F.col("tie")).alias("order"), i.alias("id"), (-F.col("score")).alias("neg")))
     return top.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list(single))).alias("found"))
 
 
@@ -276,7 +287,7 @@ def nearest_neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "e
     """query_id, rank (from 1), vec_id, score for every row whose id is divisible by QUERY_EVERY.
 
     Candidates are all rows but those with the query's own id; equal scores go to
-    the smaller id, rows that repeat an id count once. Rows without an id, and
+    the smaller id (cosines that agree to TIE_DIGITS decimals are equal), rows that repeat an id count once. Rows without an id, and
     vectors that are null, zero, of another length than most, or hold nulls or
     values that are not finite take no part. Fewer candidates give fewer rows.
     """
@@ -296,4 +307,5 @@ def nearest_neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "e
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every 50th embedding; nulls, ties, repeats, lengths and empty tables as ``nearest_neighbours`` says."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

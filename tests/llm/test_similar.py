@@ -323,3 +323,30 @@ def test_pipeline_stages(spark):
         assert i == 4 or docs.columns == columns
     assert sizes[1] == sizes[0] - 2 and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4]
     assert docs.where("size(ids) <> n_tokens").count() == 0
+
+
+def brute_nearest(rows, n=5):
+    """Nearest by cosine over all rows, ties (to 12 decimals) by id."""
+    out = []
+    for i, v in rows:
+        if i % 50:
+            continue
+        ranked = sorted((-round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), 12), j) for j, w in rows if j != i)
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(ranked[:n])]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["axes", "scaled", "mixed"])
+def test_neighbour_ties_go_to_the_smaller_id(spark, kind):
+    rng = np.random.default_rng(3)
+    if kind == "axes":
+        rows = [(i, np.eye(50)[i]) for i in range(50)]
+    elif kind == "scaled":
+        base = rng.normal(size=6)
+        rows = [(i, base * (1 + i * 0.37)) for i in range(120)]
+    else:
+        signs = rng.choice([-1.0, 1.0], (160, 5))
+        rows = [(i, signs[i]) for i in range(160)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest_neighbours(table).collect())
+    assert got == sorted((a, b, c, round(d, 9)) for a, b, c, d in brute_nearest(rows))
