@@ -58,7 +58,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Learned languages, fingerprints and BPE are beyond SQL; tests hold the stages against brute force.
+#: Learned languages, fingerprints and BPE are beyond SQL; tests of the operators hold them against brute force, that of the stages counts rows.
 ORACLE_SQL = None
 
 
