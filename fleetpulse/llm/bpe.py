@@ -8,16 +8,23 @@ state b has at that moment. Arcs are not copied: a state refers to the moment it
 was made, so the automaton is as large as the merge list, and an arc that has been
 resolved once is kept in a transition table. A sequence of tokens is accepted if
 and only if BPE would produce it, so the one accepted path that spells a word is
-its encoding. Words are read from left to right; the arc labels of the path are the ids.
+its encoding, its arc labels being the ids.
+
+Words are read from left to right by tables: one leads from the longest beginning of
+a token that ends here to the next one, and gives the tokens that end here, longest
+first; exactly one of them may follow the path before it. New words of many texts are
+read side by side, a symbol of all of them at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +32,15 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.common import table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words and arcs remembered by a Python worker. A full table of words becomes the old one, out of
-#: which words that come up again are taken over; a full table of arcs is begun anew.
-WORDS_KEPT = 100_000
-ARCS_KEPT = 200_000
+#: Words remembered by a Python worker. A full table of words becomes the old one, out of
+#: which words that come up again are taken over.
+WORDS_KEPT = 50_000
+#: Places of the table of resolved arcs: a power of two. An arc takes the place of an older one.
+ARC_BITS = 20
+#: Bytes of words that are read side by side; longer words are read alone.
+SIDE_BY_SIDE = 64
+#: Characters of texts that are split into words at once.
+CHUNK = 1 << 20
 #: White space as the tokenizer file's patterns understand it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -62,38 +74,97 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Compiled merges: vocabulary, moments at which states were made, and resolved arcs."""
+    """Compiled merges: vocabulary, moments at which states were made, resolved arcs, and the tables by which symbols are read.
+
+    ``goto`` leads from one beginning of tokens to the next; ``back`` is the longest
+    other beginning that one ends in, ``longest`` the longest token that it ends in,
+    and ``shorter`` the next shorter token that a token ends in.
+    """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.vocab, self.suffix = vocab, suffix
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, symbols: list[str]):
         self.labels = [""] * (max(vocab.values(), default=-1) + 1)
         for label, i in vocab.items():
             self.labels[i] = label
         n = len(self.labels)
         self.made = [-1] * n  # moment of the gadget that made the state; base symbols have been there before
         self.left, self.right = [-1] * n, [-1] * n
-        self.cut: dict[tuple[int, int], int] = {}  # moment at which an arc was taken out
-        self.arcs: dict[int, bool] = {}
-        self.usable: dict[str, int] = {label: i for label, i in vocab.items()}
+        self.cut: dict[int, int] = {}  # moment at which an arc was taken out
+        self.arc_keys = np.full(1 << ARC_BITS, -1, np.int64)
+        self.arc_found = np.zeros(1 << ARC_BITS, bool)
+        unusable: set[int] = set()
         for moment, (a, b) in enumerate(merges):
-            self._gadget(moment, vocab[a], vocab[b], vocab[a + b])
-        # the longest token that ends in two given symbols, within a word and at its end
-        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        for label in self.usable:
-            last = label.endswith(suffix)
-            symbols = label.removesuffix(suffix) if last else label
-            if len(symbols) > 1:
-                self.reach[last][symbols[-2:]] = max(len(symbols), self.reach[last].get(symbols[-2:], 1))
-
-    def _gadget(self, moment: int, a: int, b: int, c: int) -> None:
+            if not self._gadget(moment, vocab[a], vocab[b], vocab[a + b]):
+                unusable.add(vocab[a + b])
+        self._table(vocab, suffix, symbols, unusable)
+
+    def _table(self, vocab: dict[str, int], suffix: str, symbols: list[str], unusable: set[int]) -> None:
+        """Transitions by symbol: 0 to 255 within a word, 256 more at its end."""
+        number = {c: i for i, c in enumerate(symbols)}
+        self.goto: dict[int, int] = {}
+        self.size = [0] * len(self.labels)
+        token = [-1]  # token that a beginning is
+        children: list[list[tuple[int, int]]] = [[]]
+        for label, i in vocab.items():
+            last = label.endswith(suffix) and label != suffix
+            spelled = [number.get(c, -1) for c in (label.removesuffix(suffix) if last else label)]
+            if not spelled or min(spelled) < 0 or i in unusable:
+                continue
+            if last:
+                spelled[-1] += 256
+            at = 0
+            for c in spelled:
+                to = self.goto.get(at << 9 | c)
+                if to is None:
+                    to = self.goto[at << 9 | c] = len(token)
+                    children[at].append((c, to))
+                    children.append([])
+                    token.append(-1)
+                at = to
+            token[at], self.size[i] = i, len(spelled)
+        self.shorter = [-1] * len(self.labels)
+        self.longest = [-1] * len(token)
+        self.back = [0] * len(token)
+        queue = [0]
+        for at in queue:
+            for c, to in children[at]:
+                back = self.back[to] = self.beginning(self.back[at], c) if at else 0
+                own = token[to]
+                if own >= 0:
+                    self.shorter[own] = self.longest[back]
+                self.longest[to] = own if own >= 0 else self.longest[back]
+                queue.append(to)
+        self.back, self.longest, self.shorter, self.size = (np.array(x, np.int64) for x in (self.back, self.longest, self.shorter, self.size))
+        self._hash()
+
+    def _hash(self) -> None:
+        """``goto`` as an open hash table in two arrays, at most a quarter full."""
+        self.bits = max(4, (4 * len(self.goto)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        keys = np.fromiter(self.goto, np.int64, len(self.goto))
+        for place, (key, to) in zip(self._place(keys, self.bits).tolist(), self.goto.items()):
+            while self.keys[place] >= 0:
+                place = (place + 1) % len(self.keys)
+            self.keys[place], self.to[place] = key, to
+
+    @staticmethod
+    def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def beginning(self, at: int, symbol: int) -> int:
+        """The longest beginning after one more symbol, through shorter ones where it cannot be continued."""
+        to = self.goto.get(at << 9 | symbol)
+        while to is None and at:
+            at = self.back[at]
+            to = self.goto.get(at << 9 | symbol)
+        return to or 0
+
+    def _gadget(self, moment: int, a: int, b: int, c: int) -> bool:
+        """Whether token c can be reached."""
         reachable = self.arc(a, b, moment)
-        self.cut.setdefault((a, b), moment)
-        if self.left[c] >= 0:
-            return  # the same string was made by an earlier merge
-        if reachable:
+        self.cut.setdefault(a << 20 | b, moment)
+        if reachable and self.left[c] < 0:  # or the same string was made by an earlier merge
             self.made[c], self.left[c], self.right[c] = moment, a, b
-        else:
-            self.usable.pop(self.labels[c], None)
+        return reachable or self.left[c] >= 0
 
     def arc(self, state: int, token: int, moment: int) -> bool:
         """Whether the arc was there just before ``moment``.
@@ -102,7 +173,7 @@ class Automaton:
         its right half, an arc from where its left half led.
         """
         while True:
-            if self.cut.get((state, token), moment) < moment:
+            if self.cut.get(state << 20 | token, moment) < moment:
                 return False
             born_state, born_arc = self.made[state], self.made[token]
             if born_state < 0 and born_arc < 0:
@@ -113,32 +184,77 @@ class Automaton:
                 # the gadget takes arcs out before it adds the new one
                 moment, token = born_arc + 1, self.left[token]
 
-    def follows(self, state: int, token: int) -> bool:
+    def beginnings(self, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """``beginning`` for aligned arrays."""
+        out = np.zeros(len(at), np.int64)
+        rest = np.arange(len(at))
+        while len(rest):
+            key = at << 9 | symbol
+            place = self._place(key, self.bits)
+            probe = np.flatnonzero((self.keys[place] != key) & (self.keys[place] >= 0))
+            while len(probe):
+                place[probe] = (place[probe] + 1) % len(self.keys)
+                held = self.keys[place[probe]]
+                probe = probe[(held != key[probe]) & (held >= 0)]
+            to = self.to[place]
+            found = to >= 0
+            out[rest[found]] = to[found]
+            left = ~found & (at > 0)
+            rest, at, symbol = rest[left], self.back[at[left]], symbol[left]
+        return out
+
+    def follow(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether arcs are there after the last merge, for aligned arrays."""
         key = state << 20 | token
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            found = self.arcs[key] = self.arc(state, token, 1 << 60)
+        place = self._place(key, ARC_BITS)
+        found = self.arc_found[place]
+        new = np.flatnonzero(self.arc_keys[place] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            made = np.array([self.arc(k >> 20, k & 0xFFFFF, 1 << 60) for k in keys.tolist()])
+            found[new] = made[back]
+            at = self._place(keys, ARC_BITS)
+            _, one = np.unique(at, return_index=True)
+            self.arc_keys[at[one]], self.arc_found[at[one]] = keys[one], made[one]
         return found
 
-    def encode(self, word: str) -> list[int]:
-        """Ids of one word of byte symbols: the only accepted path."""
-        n, usable = len(word), self.usable
-        state, length = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            longest = self.reach[end == n].get(word[max(0, end - 2) : end], 1)
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end] + self.suffix if end == n else word[start:end]
-                token = usable.get(piece)
-                if token is not None and (start == 0 or self.follows(state[start], token)):
-                    state[end], length[end] = token, end - start
-                    break
-        ids, end = [], n
-        while end:
-            ids.append(state[end])
-            end -= length[end]
-        return ids[::-1]
+    def read(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words as little-endian unsigned 32-bit integers; no word is empty."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")
+        lengths, n, width = lengths[order], len(words), int(lengths.max(initial=0))
+        symbols = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in order.tolist()]), np.uint8)
+        symbols = symbols.reshape(n, width).T.astype(np.int64)
+        symbols[lengths - 1, np.arange(n)] += 256
+        # the last token of the path of each word, at each place
+        last = np.full((width + 1, n), -1, np.int32)
+        at = np.zeros(n, np.int64)
+        for end in range(1, width + 1):
+            some = int(np.searchsorted(-lengths, -end, "right"))
+            at = self.beginnings(at[:some], symbols[end - 1, :some])
+            token, word = self.longest[at], np.arange(some)
+            while len(word):
+                before = last[end - self.size[token], word].astype(np.int64)
+                right = before < 0
+                inner = np.flatnonzero(~right)
+                right[inner] = self.follow(before[inner], token[inner])
+                last[end, word[right]] = token[right]
+                word, token = word[~right], self.shorter[token[~right]]
+        ids, count, end, word = np.zeros((n, width), "<u4"), np.zeros(n, np.int64), lengths.copy(), np.arange(n)
+        while len(word):
+            token = last[end[word], word]
+            count[word] += 1
+            ids[word, width - count[word]] = token
+            end[word] -= self.size[token]
+            word = word[end[word] > 0]
+        data, out = ids.tobytes(), [b""] * n
+        for row, (i, k) in enumerate(zip(order.tolist(), count.tolist()), 1):
+            out[i] = data[4 * (row * width - k) : 4 * row * width]
+        return out
+
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of one word."""
+        return np.frombuffer(self.read([word])[0], "<u4").tolist() if word else []
 
 
 class Codec:
@@ -151,48 +267,87 @@ class Codec:
             described = json.load(f)
         model = described["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"], byte_symbols())
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
-        self.symbols = byte_symbols()
         short = "'s|'t|'re|'ve|'m|'ll|'d"
         self.split = regex.compile(rf"{short}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.split_ascii = re.compile(rf"{short}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         late = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in LATE)
+        self.beyond = re.compile(f"[{chr(LATE[0][0])}-\U0010ffff]")
         self.late = regex.compile(f"[{late}]")
         self.split_late = regex.compile(
             rf"(?V1){short}|[\p{{L}}--[{late}]]+|[\p{{N}}--[{late}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{late}]]+"
         )
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def word(self, word: str) -> bytes:
-        found = self.old_words.get(word)
-        if found is None:
-            ids = self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
-            found = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(word) < 64:
-            if len(self.words) >= WORDS_KEPT:
-                self.words, self.old_words = {}, self.words
-            self.words[word] = found
-        return found
+    def learn(self, words: set[str]) -> None:
+        """Read words that are not in the table, and keep them there."""
+        if len(self.words) >= WORDS_KEPT:
+            self.words, self.old_words = {}, self.words
+        new = []
+        for word in words:
+            found = self.old_words.get(word)
+            if found is None:
+                new.append(word)
+            else:
+                self.words[word] = found
+        coded = [w.encode("utf-8", "replace") for w in new]
+        short = [i for i, c in enumerate(coded) if len(c) <= SIDE_BY_SIDE]
+        self.words.update(zip([new[i] for i in short], self.automaton.read([coded[i] for i in short])))
+
+    def split_words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split_ascii.findall(text.lower())
+        # lower case is taken letter by letter: no final form of the Greek sigma
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        split = self.split_late if self.beyond.search(text) and self.late.search(text) else self.split
+        return split.findall(text.lower())
+
+    def parts(self, text: str | None) -> list[list[str] | bytes]:
+        """Words of a text between special tokens, and the ids of these."""
+        if not text:
+            return []
+        if "<|" not in text:
+            return [self.split_words(text)]
+        found = self.marks.split(text)
+        return [self.special[p].to_bytes(4, "little") if i % 2 else self.split_words(p) for i, p in enumerate(found)]
 
-    def piece(self, text: str) -> bytes:
-        if not text.isascii():
-            # lower case is taken letter by letter: no final form of the Greek sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        split = self.split_late if not text.isascii() and self.late.search(text) else self.split
-        new = self.word
-        return b"".join([self.words.get(w) or new(w) for w in split.findall(text.lower())])
+    def ids(self, words: list[str]) -> bytes:
+        known = self.words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            return b"".join([known.get(w) or self.alone(w) for w in words])
+
+    def alone(self, word: str) -> bytes:
+        """Ids of a word that is too long to be kept."""
+        return self.automaton.read([word.encode("utf-8", "replace")])[0]
+
+    def encode_some(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; strings of special tokens in the text are those tokens.
+
+        Texts are split CHUNK characters at a time, but each as a whole, and their new words are read side by side.
+        """
+        at = 0
+        while at < len(texts):
+            start, held = at, 0
+            while at < len(texts) and (at == start or held + len(texts[at] or "") <= CHUNK):
+                held += len(texts[at] or "")
+                at += 1
+            split = [self.parts(t) for t in texts[start:at]]
+            words = {w for parts in split for p in parts if not isinstance(p, bytes) for w in p}
+            missing = words.difference(self.words)
+            if len(self.words) >= WORDS_KEPT:
+                missing = words
+            self.learn(missing)
+            for parts in split:
+                yield b"".join([p if isinstance(p, bytes) else self.ids(p) for p in parts])
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; strings of special tokens in the text are those tokens."""
-        if not text:
-            return b""
-        if "<|" not in text:
-            return self.piece(text)
-        parts = self.marks.split(text)
-        return b"".join(self.special[p].to_bytes(4, "little") if i % 2 else self.piece(p) for i, p in enumerate(parts))
+        return next(self.encode_some([text]))
 
     def decode(self, ids: bytes) -> str:
         """The labels of the path, a blank between them."""
@@ -212,11 +367,9 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         own = codec(path)
         for texts in parts:
-            yield pd.Series([np.frombuffer(own.encode(t), "<i4") for t in texts], dtype=object)
+            yield pd.Series([np.frombuffer(ids, "<i4") for ids in own.encode_some(list(texts))], dtype=object)
 
     return docs.withColumn("ids", ids(F.col(text)))
 
@@ -226,8 +379,6 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
         own = codec(path)
         for rows in parts:
             yield pd.Series([own.decode(np.asarray(r if r is not None else [], "<u4").tobytes()) for r in rows], dtype=object)
@@ -245,8 +396,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         own = codec(path)
         for part in parts:
             out = []
-            for t in part["text"]:
-                ids = own.encode(t)
+            for ids in own.encode_some(list(part["text"])):
                 decoded = own.decode(ids).encode("utf-8")
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -259,4 +409,5 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents: a null or empty text has no tokens, a very long one is read whole, repeated rows stay."""
     return digests(table(spark, sf_dir, "documents"), vocabulary_path())

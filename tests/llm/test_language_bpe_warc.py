@@ -82,10 +82,27 @@ def test_encoding_equals_the_library(tokenizer):
         assert own.decode(got) == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_query_columns_against_the_library(spark, tokenizer):
+    import hashlib
+
+    texts = ["Hello, the World", None, "", "the the " * 30_000, "x" * 500, "Hello, the World", "\u0558 \u088fa é\u0344", "<|endoftext|>a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{FOLDER}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    )
+    rows = {r.doc_id: r for r in bpe.digests(docs, bpe.vocabulary_path()).collect()}
+    for r in docs.collect():
+        e = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert rows[r.doc_id].n_tokens == len(e)
+        assert rows[r.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(e)}I", *e)).hexdigest()
+        text = tokenizer.decode(e, skip_special_tokens=False).encode()
+        assert rows[r.doc_id].decoded_sha256 == hashlib.sha256(text).hexdigest()
+
+
 def test_automaton_accepts_only_bpe_paths():
     vocab = {s: i for i, s in enumerate(["a", "b", "a.", "b.", "aa", "ab", "aab", "ab.", "aaa"])}
     merges = [("a", "a"), ("a", "b"), ("aa", "b"), ("a", "b."), ("aa", "a")]
-    own = bpe.Automaton(vocab, merges, ".")
+    symbols = [chr(i) if 97 <= i < 99 else chr(0x100 + i) for i in range(256)]
+    own = bpe.Automaton(vocab, merges, ".", symbols)
 
     def merged(word):
         parts = [*word[:-1], word[-1] + "."]
@@ -101,7 +118,7 @@ def test_automaton_accepts_only_bpe_paths():
 
     for n in range(1, 9):
         for word in itertools.product("ab", repeat=n):
-            assert [own.labels[i] for i in own.encode("".join(word))] == merged(word)
+            assert [own.labels[i] for i in own.encode("".join(word).encode())] == merged(word)
 
 
 def test_encode_decode_frames(spark, tokenizer):
