@@ -161,12 +161,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "o
     return train(packed, [r["lang"] for r in made])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, softmax over languages).
-
-    A null text, one without letters, and any text if nothing was learned are
-    ``und`` with score 0. The whole text is read; all columns pass through.
-    """
+def predictions(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(whole, p): each row of ``docs`` as a struct, and its ``lang`` and ``score``; no column of ``docs`` can clash."""
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -188,10 +184,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores += [float(s[b]) if ok else 0.0 for s, b, ok in zip(soft, best, found)]
             yield pd.DataFrame({"lang": names, "score": scores})
 
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*taken, predict(F.col(text)).alias("_p")).select(
-        *taken, F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score")
-    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    return docs.select(whole, predict(F.col(f"`{text}`")).alias("p"))
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, softmax over languages).
+
+    A null text, one without letters, and any text if nothing was learned are
+    ``und`` with score 0. The whole text is read, however long; repeated rows get
+    the same result. All columns pass through, except that columns named
+    ``lang_pred`` and ``score`` are replaced.
+    """
+    taken = [F.col(f"whole.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return predictions(docs, model, text).select(*taken, F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def held_out(key: Column) -> Column:
@@ -205,6 +211,7 @@ def learn_documents(docs: DataFrame) -> Model:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; null and letterless texts are ``und``."""
     docs = table(spark, sf_dir, "documents")
     marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return identify(marked, learn_documents(docs)).select("doc_id", "held_out", "lang_pred", "score")

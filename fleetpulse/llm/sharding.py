@@ -194,6 +194,12 @@ def text_size(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
 
 
+def place_of(key: str) -> Column:
+    """Where a row stands in its shard, as a hex digest; to be taken from the scanned table, before any shuffle."""
+    scanned = F.monotonically_increasing_id().cast("string")
+    return F.md5(F.concat_ws(":", F.lit("place"), F.coalesce(F.col(key).cast("string"), F.lit("null")), scanned).cast("binary"))
+
+
 def stored_layout(rows: DataFrame) -> tuple[str, DataFrame]:
     """Folder of ``rows`` (old_shard, place, any more) in partitions old_shard=/block=, and its rows, each with a unique ``row``."""
     spark = rows.sparkSession
@@ -207,6 +213,9 @@ def stored_layout(rows: DataFrame) -> tuple[str, DataFrame]:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents moved from 12 shards by source to 8 shards of nearly equal bytes.
 
+    The place of a row is a digest of its id and its number in the scan, so rows that
+    share an id, or have none, are spread over the blocks like any others.
+
     The old shards are written as files, the affected ones are rewritten, and the
     result is read from the files. A null doc_id or text is placed like any other
     value; rows that repeat a document are rows of their own.
@@ -218,7 +227,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_size(F.col("text")).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"),
-        F.md5(F.concat(F.lit("place:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("place"),
+        place_of("doc_id").alias("place"),
     )
     layout, stored = stored_layout(rows)
     if stored.isEmpty():

@@ -49,6 +49,9 @@ def test_language_of_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (2, "12 !? \u0000", 3.0), (3, "cat", 4.0)], "doc_id long, text string, score double")
     got = langid.identify(odd, model).collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "en"] and got[0].score == 0.0
+    clash = odd.withColumns({"_p": F.lit("p"), "whole": F.lit("w"), "p": F.lit(1), "lang_pred": F.lit("mine")})
+    rows = langid.identify(clash.unionByName(clash), model).collect()
+    assert len(rows) == 8 and {(r._p, r.whole, r.p) for r in rows} == {("p", "w", 1)} and rows[3].lang_pred == "en"
     nothing = langid.fit(docs.limit(0).withColumn("order", F.xxhash64("doc_id")))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
 

@@ -163,3 +163,10 @@ def test_the_query_rewrites_files(spark, tmp_path, monkeypatch):
     assert sorted(got["size"]) == sorted(len(t) + 1 for _, t, _ in rows)
     for _, part in got.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_rows_without_an_id_are_spread_over_blocks(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("old_shard"))
+    placed = sharding.with_blocks(rows.withColumn("place", sharding.place_of("doc_id")), {0: 20_000})
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 1.2 * sharding.BLOCK_ROWS
