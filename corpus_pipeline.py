@@ -21,9 +21,10 @@ def small_batches(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters or below LEAST_SCORE go, a missing ``lang`` is filled in."""
     small_batches(spark)
-    known = langid.identify(docs, langid.learn_documents(docs))
-    kept = known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known = langid.predictions(docs, langid.learn_documents(docs))
+    kept = known.where((F.col("p.lang") != langid.UNKNOWN) & (F.col("p.score") >= LEAST_SCORE))
+    lang = F.coalesce("whole.lang", "p.lang").alias("lang")
+    return kept.select(*[lang if c == "lang" else F.col(f"whole.`{c}`") for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the budget of their source uses them, a row for each epoch; the last one of a prefix is kept whole."""
-    chosen = mixing.mix(mixing.with_tree(docs)).where("copies > 0")
-    return chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tree = mixing.with_tree(docs.select(row, "doc_id", "text", "lang", "source")).drop("text")
+    chosen = mixing.mix(tree).where("copies > 0")
+    epochs = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return chosen.select("row", epochs.alias("epoch")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
