@@ -314,13 +314,16 @@ def test_odd_vectors_and_ties(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     odd = [(10_000_001, "12 34 !!", "en", "src1", 8), (10_000_002, None, None, None, None)]
-    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("copies", F.lit("clash"))
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    extra = ["copies", "n_tokens", "domain", "score", "lang_pred", "_p", "epoch"]
+    docs = docs.withColumns({c: F.lit("clash") for c in extra})
     columns = docs.columns
     sizes = [docs.count()]
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = written(stage(spark, docs, FOLDER), f"test-{name}")
         sizes.append(docs.count())
         assert i == 4 or docs.columns == columns
+        assert i == 4 or docs.select(*extra).distinct().collect() == [("clash",) * len(extra)]
     assert sizes[1] == sizes[0] - 2 and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[5] == sizes[4]
     assert docs.where("size(ids) <> n_tokens").count() == 0
 
