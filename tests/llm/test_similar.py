@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,6 +274,54 @@ def test_marks_scattered_over_a_window_are_not_similar():
     assert passages.similar(a, a)[0][0] and passages.overlapping(a, a)[1].tolist() == [[0, width - 1] * 2]
 
 
+def test_sparse_marks_are_left_out_without_losing_a_similar_pair():
+    rnd = np.random.default_rng(3)
+    width = 2 * passages.REACH + 1
+    a = rnd.integers(1, 60_000, (600, width)).astype(np.uint16)
+    b = a.copy()
+    for i in range(len(a)):
+        hit = rnd.random(width) < i / len(a) * 0.5
+        b[i, hit] = rnd.integers(1, 60_000, hit.sum())
+        b[i] = np.roll(b[i], rnd.integers(-9, 10))
+        b[i, : rnd.integers(0, 60)] = 0
+        b[i, width - rnd.integers(1, 60) :] = 0
+        if i % 3 == 0:
+            a[i], b[i] = a[i] % 9 + 1, np.where(b[i] == 0, 0, b[i] % 9 + 1)
+    good = passages.similar(a, b)[0]
+    has = np.stack([np.isin(x, y[y != 0]) & (x != 0) for x, y in zip(a, b)])
+    kept = passages.dense(has)
+    assert good.any() and not good.all() and not (good & ~kept).any() and kept.sum() < 1.5 * good.sum()
+
+
+def test_windows_of_one_kind_link_like_each_window():
+    rnd = np.random.default_rng(8)
+    width = 2 * passages.REACH + 1
+    kinds = rnd.integers(1, 60_000, (4, width)).astype(np.uint16)
+    kinds[1] = kinds[0]
+    kinds[1, [10, 100]] = 1
+    which = rnd.integers(0, 4, 90)
+    frame = pd.DataFrame({"tid": np.arange(90) // 3, "c": 200 * np.arange(90), "around": [kinds[k].tobytes() for k in which]})
+    made = pd.concat(passages.forest_links(frame, kinds[which]))
+    sets = Sets(range(30))
+    for x, y in zip(made["a"], made["b"]):
+        sets.join(x, y)
+    same, alike = Sets(range(30)), passages.similar(kinds.repeat(4, axis=0), np.tile(kinds, (4, 1)))[0].reshape(4, 4)
+    for i in range(90):
+        for j in range(i):
+            if i // 3 != j // 3 and alike[which[i], which[j]]:
+                same.join(i // 3, j // 3)
+    assert [sets.find(i) for i in range(30)] == [same.find(i) for i in range(30)]
+    # every window is in a row, with its own place
+    ends = np.concatenate([made[["a", "a_to"]], made[["b", "b_to"]]])
+    assert set(map(tuple, ends)) == set(zip(frame["tid"], frame["c"] + passages.REACH))
+
+
+def test_compact_windows_of_one_repeated_word_are_few():
+    assert passages.compact_windows(np.zeros(80_000, np.int64)) == [(0, 0, 79_999), (1, 79_999, 79_999)]
+    values = np.array([5, 1, 1, 1, 1, 7, 9, 1, 8])
+    assert sorted(passages.compact_windows(values, 2)) == [(0, 1, 8), (2, 4, 8), (5, 5, 6), (5, 7, 8)]
+
+
 def test_compact_windows_cover_every_subsequence_once():
     rnd = np.random.default_rng(1)
     values = rnd.permutation(40)
