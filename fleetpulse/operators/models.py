@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -192,6 +193,67 @@ def random_search(
     )
 
 
+#: A rung of a halving search: trial, the rung, trees grown in it, mean F1.
+RUNGS = "trial int, rung int, grown int, mean_f1 double"
+
+
+def halving_search(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    settings: Sequence[dict],
+    path: str,
+    folds: int = 5,
+    fold_col: str = "fold",
+    factor: int = 3,
+    rungs: int = 3,
+    parallelism: int = 4,
+    seed: int = 42,
+) -> DataFrame:
+    """Successive halving over random settings: ``trial, model, trees, depth, rate, rung, grown, mean_f1``.
+
+    In the first rung every setting grows one in ``factor ** (rungs - 1)`` of its trees (at least one); of each
+    rung the best one in ``factor`` (at least one; ties: smaller trial) goes on with ``factor`` times the trees, in
+    the last rung with all of them. Finished trials are appended to the table at ``path`` and not fitted again, so
+    a search that was stopped goes on from there. The table must belong to the same data and settings. One row
+    per setting, of the last rung it reached; the winner is the best one of the last rung. The rows are made once
+    for all trials.
+    """
+    spark = df.sparkSession
+    rows = written(spread(df.select(*features, label, fold_col)), "search-rows")
+    places = {s["trial"]: s for s in settings}
+
+    def finished() -> DataFrame:
+        try:
+            return spark.read.schema(RUNGS).parquet(path).groupBy("trial", "rung").agg(
+                F.max("grown").alias("grown"), F.max("mean_f1").alias("mean_f1")
+            )
+        except AnalysisException:
+            return spark.createDataFrame([], RUNGS)
+
+    active = sorted(places)
+    for rung in range(rungs):
+        # at most one row for each trial of the search
+        known = {r["trial"]: r["mean_f1"] for r in finished().filter(F.col("rung") == rung).collect()}
+        share = factor ** (rungs - 1 - rung)
+        for trial in [t for t in active if t not in known]:
+            grown = max(1, places[trial]["trees"] // share)
+            setting = {**places[trial], "trees": grown}
+            value = random_search(rows, features, label, [setting], folds, fold_col, parallelism, seed).first()["mean_f1"]
+            spark.createDataFrame([(trial, rung, grown, value)], RUNGS).coalesce(1).write.mode("append").parquet(path)
+            known[trial] = value
+        ranked = sorted(active, key=lambda t: (-known[t], t))
+        active = sorted(ranked[: max(1, len(active) // factor)])
+    reached = finished().filter(F.col("trial").isin(list(places))).groupBy("trial").agg(
+        F.max(F.struct("rung", "grown", "mean_f1")).alias("last")
+    )
+    listed = spark.createDataFrame(
+        [(s["trial"], s["model"], s["trees"], s["depth"], float(s["rate"])) for s in settings],
+        "trial int, model string, trees int, depth int, rate double",
+    )
+    return listed.join(reached, "trial").select(*listed.columns, "last.rung", "last.grown", "last.mean_f1")
+
+
 def best_setting(results: DataFrame) -> DataFrame:
     return history.best_configuration(results, "mean_f1", ["trial"])
 

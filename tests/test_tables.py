@@ -184,6 +184,33 @@ def test_search_picks_the_best_setting(spark):
     assert results.count() == 2 and best["mean_f1"] == results.agg(F.max("mean_f1")).first()[0]
 
 
+def test_a_stopped_search_goes_on_from_its_table(spark, tmp_path, monkeypatch):
+    df = prep.stratified_folds(learnable(spark, 120), "y", "id", 2)
+    settings = [{**s, "trees": 4, "depth": 2} for s in models.random_settings(4, trees=(4, 4))]
+    path, calls, search = str(tmp_path / "trials"), [], models.random_search
+
+    def stops_after(n):
+        def run(rows, features, label, chosen, *rest):
+            if len(calls) == n:
+                raise RuntimeError("stopped")
+            calls.append((chosen[0]["trial"], chosen[0]["trees"]))
+            return search(rows, features, label, chosen, *rest)
+
+        return run
+
+    monkeypatch.setattr(models, "random_search", stops_after(3))
+    with pytest.raises(RuntimeError, match="stopped"):
+        models.halving_search(df, ["a", "b"], "y", settings, path, folds=2, factor=2, rungs=2)
+    assert calls == [(0, 2), (1, 2), (2, 2)]
+    monkeypatch.setattr(models, "random_search", stops_after(-1))
+    found = models.halving_search(df, ["a", "b"], "y", settings, path, folds=2, factor=2, rungs=2).collect()
+    assert calls[3] == (3, 2) and len(calls) == 6 and all(trees == 4 for _, trees in calls[4:])
+    assert sorted(r["trial"] for r in found) == [0, 1, 2, 3] and sorted(r["rung"] for r in found) == [0, 0, 1, 1]
+    # a finished search fits nothing, and gives the same
+    again = models.halving_search(df, ["a", "b"], "y", settings, path, folds=2, factor=2, rungs=2).collect()
+    assert len(calls) == 6 and sorted(again) == sorted(found)
+
+
 def test_adaptive_rounds_are_bounded(spark):
     df = learnable(spark, 60).withColumn("fold", (F.col("id") % 2).cast("int"))
     seen = []
