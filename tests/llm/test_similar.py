@@ -264,6 +264,62 @@ def test_similar_copies_of_a_hot_passage(spark, monkeypatch, chunk_rows):
     assert all(got[1000 + i].class_id == 1000 + i and not got[1000 + i].spans for i in range(100))
 
 
+@pytest.mark.parametrize("group_rows, chunk_rows", [(4, 4096), (1000, 4096), (4, 12)])
+def test_all_links_of_a_hot_passage_are_counted(spark, monkeypatch, group_rows, chunk_rows):
+    monkeypatch.setattr(passages, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(passages, "CHUNK_ROWS", chunk_rows)
+    rnd = random.Random(31)
+    draw = lambda n: [f"w{rnd.randrange(1_000_000)}" for _ in range(n)]
+    hot, first, near = draw(60), draw(140), draw(130)
+    texts = {i: draw(10 + i % 7) + hot + draw(12) for i in range(80)}
+    # equal windows from the start of texts, and copies with a word of their own in the middle
+    texts |= {100 + i: first + draw(20 + i) for i in range(70)}
+    texts |= {200 + i: draw(5) + near[:64] + draw(1) + near[65:] + draw(5) for i in range(70)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    assert all(got[i].class_id == i // 100 * 100 for i in texts)
+    assert {got[i].n_links for i in range(80)} == {79} and {got[100 + i].n_links for i in range(70)} == {69}
+    assert {got[200 + i].n_links for i in range(70)} == {69}
+    assert all(s.first <= 10 + i % 7 and s.last >= 69 + i % 7 for i in range(80) for s in got[i].spans)
+
+
+def test_pairs_are_verified_as_by_comparing_all_marks():
+    rnd = np.random.default_rng(5)
+    width = 2 * passages.REACH + 1
+    rows = np.tile(rnd.integers(1, 60_000, (6, width)).astype(np.uint16), (10, 1))
+    for i, row in enumerate(rows):
+        hit = rnd.random(width) < i / 300
+        row[hit] = rnd.integers(1, 9, hit.sum())
+        rows[i] = np.roll(row, rnd.integers(-6, 7))
+        rows[i, : rnd.integers(0, 50)] = 0
+    y, x = np.triu_indices(len(rows), 1)
+    good, places = passages.similar(rows[x], rows[y])
+    want = set(zip(x[good], y[good], map(tuple, places[good])))
+    assert 0 < len(want) < len(x)
+    mixed = rnd.permutation(len(x))
+    for order in (np.arange(len(x)), mixed):  # by tables and by search
+        made = passages.Marks(rows).verified(x[order], y[order])
+        assert set(zip(made[0], made[1], map(tuple, made[2]))) == want
+
+
+@pytest.mark.parametrize("least", [1, 7, 47])
+def test_compact_windows_equal_those_of_the_definition(least):
+    rnd = np.random.default_rng(least)
+    for n in [*range(9), 60, 150]:
+        for values in (rnd.integers(0, 4, n), rnd.integers(0, 1 << 63, n).astype(np.uint64)):
+            want = []
+            for c in range(n):
+                if 0 < c < n - 1 and values[c - 1] == values[c] == values[c + 1]:
+                    continue
+                inner = [0 < i < n - 1 and values[i - 1] == values[i] == values[i + 1] for i in range(c)]
+                before = [i for i in range(c) if values[i] <= values[c] and not inner[i]]
+                after = [i for i in range(c + 1, n) if values[i] < values[c]]
+                low, high = before[-1] + 1 if before else 0, after[0] - 1 if after else n - 1
+                if high - low + 1 >= least:
+                    want.append((low, c, high))
+            assert passages.compact_windows(values, least) == want
+
+
 def test_marks_scattered_over_a_window_are_not_similar():
     rnd = np.random.default_rng(6)
     width = 2 * passages.REACH + 1
