@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import table, worker_cache
+from fleetpulse.llm.common import release_memory, table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a Python worker. A full table of words becomes the old one, out of
@@ -356,7 +356,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """The compiled codec of a worker; compiled once, kept across tasks."""
-    kept = worker_cache()
+    kept = worker_cache("bpe")
     if ("bpe", path) not in kept:
         kept["bpe", path] = Codec(path)
     return kept["bpe", path]
@@ -370,6 +370,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         own = codec(path)
         for texts in parts:
             yield pd.Series([np.frombuffer(ids, "<i4") for ids in own.encode_some(list(texts))], dtype=object)
+        release_memory()
 
     return docs.withColumn("ids", ids(F.col(text)))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fleetpulse.llm.common import table, worker_cache
+from fleetpulse.llm.common import release_memory, released, table, worker_cache
 
 #: Rows learned from, over all languages, and landmarks among them. These bound the fit on the driver.
 TRAIN_ROWS = 4000
@@ -35,7 +35,7 @@ PIECE = 1 << 18
 
 def letters() -> np.ndarray:
     """For each code point its lower-case letter, 0 if it is no letter."""
-    kept = worker_cache()
+    kept = worker_cache("langid")
     if "letters" not in kept:
         folded = np.zeros(0x110000, np.uint32)
         for i in range(0x110000):
@@ -155,7 +155,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "o
             made = [np.packbits(one).tobytes() if presence(t, one) else None for t in part["text"]]
             yield pd.DataFrame({"lang": part["lang"], "nth": part["nth"], "flags": made}).dropna()
 
-    made = chosen.mapInPandas(flags, "lang string, nth int, flags binary").collect()
+    made = chosen.mapInPandas(released(flags), "lang string, nth int, flags binary").collect()
     made.sort(key=lambda r: (r["nth"], r["lang"]))
     packed = np.frombuffer(b"".join(bytes(r["flags"]) for r in made), np.uint8).reshape(len(made), -1 if made else 0)
     return train(packed, [r["lang"] for r in made])
@@ -183,6 +183,7 @@ def predictions(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, found)]
                 scores += [float(s[b]) if ok else 0.0 for s, b, ok in zip(soft, best, found)]
             yield pd.DataFrame({"lang": names, "score": scores})
+        release_memory()
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     return docs.select(whole, predict(F.col(f"`{text}`")).alias("p"))

@@ -1,6 +1,7 @@
 import io
 import random
 import struct
+import weakref
 import zlib
 
 import numpy as np
@@ -159,3 +160,12 @@ def test_pages_with_ties_and_nulls(spark):
     revisits = [r for r in back if r.record_type == "revisit"]
     assert sorted((r.page_id is None, r.page_id or 0, r.refers_to) for r in revisits) == [(False, 1, 2), (False, 2, 2), (True, 0, 2)]
     assert {r.url for r in back} == {r[1] for r in rows}
+
+
+def test_a_worker_keeps_the_tables_of_one_operator_only():
+    first = bpe.codec(bpe.vocabulary_path())
+    assert bpe.codec(bpe.vocabulary_path()) is first
+    gone = weakref.ref(first)
+    del first
+    folded = langid.letters()
+    assert gone() is None and langid.letters() is folded
