@@ -158,7 +158,13 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "o
     made = chosen.mapInPandas(released(flags), "lang string, nth int, flags binary").collect()
     made.sort(key=lambda r: (r["nth"], r["lang"]))
     packed = np.frombuffer(b"".join(bytes(r["flags"]) for r in made), np.uint8).reshape(len(made), -1 if made else 0)
-    return train(packed, [r["lang"] for r in made])
+    labels = [r["lang"] for r in made]
+    del made
+    model = train(packed, labels)
+    del packed
+    # the driver lives on: what the fit took must not stay with it
+    release_memory()
+    return model
 
 
 def predictions(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -169,3 +169,11 @@ def test_a_worker_keeps_the_tables_of_one_operator_only():
     del first
     folded = langid.letters()
     assert gone() is None and langid.letters() is folded
+
+
+def test_the_driver_gives_back_what_the_fit_took(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(langid, "release_memory", lambda: calls.append(1))
+    rows = [("the cat sat on the mat", "en", 1), ("der hund lief weg", "de", 2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string, order long"))
+    assert model.languages == ["de", "en"] and calls

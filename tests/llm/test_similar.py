@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetpulse.llm import ann, passages, simhash
+from fleetpulse.llm import ann, common, passages, simhash
 from fleetpulse.llm.common import components
 from fleetpulse.session import written
 
@@ -459,3 +460,22 @@ def test_neighbour_ties_go_to_the_smaller_id(spark, kind):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest_neighbours(table).collect())
     assert got == sorted((a, b, c, round(d, 9)) for a, b, c, d in brute_nearest(rows))
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark, monkeypatch):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def left(chain):
+        spark._jvm.System.gc()
+        time.sleep(2)
+        before, most = files(), []
+        monkeypatch.setattr(common, "written", lambda df, name: (written(df, name), time.sleep(0.3), most.append(files()))[0])
+        got = {r.node: r.label for r in components(chain, "test-rounds").collect()}
+        assert got == {i: 0 for i in range(200)}
+        return max(most) - before
+
+    chain = written(spark.range(199).selectExpr("id AS src", "id + 1 AS dst"), "test-chain")
+    freed = left(chain)
+    monkeypatch.setattr(common, "free_finished", lambda session: None, raising=False)
+    assert freed < left(chain)
