@@ -479,3 +479,48 @@ def test_rounds_of_components_leave_no_shuffle_files(spark, monkeypatch):
     freed = left(chain)
     monkeypatch.setattr(common, "free_finished", lambda session: None, raising=False)
     assert freed < left(chain)
+
+
+def test_texts_are_read_in_pieces_and_blanks_do_not_matter(monkeypatch):
+    rng = random.Random(3)
+    parts = [rng.choice(["Aa", "bb", "ccc", "é" * 9, "x" * 200]) for _ in range(300)]
+    want = passages.sequence(" ".join(parts))
+    assert len(want) == 296 and len(set(want.tolist())) == len({tuple(p.lower() for p in parts[i : i + 5]) for i in range(296)})
+    assert passages.sequence("\t\n".join(parts).upper().replace("É", "é") + "\r").tolist() == want.tolist()
+    monkeypatch.setattr(passages, "PIECE", 7)
+    assert passages.sequence(" ".join(parts)).tolist() == want.tolist()
+    assert len(passages.sequence(None)) == len(passages.sequence(" a b\nc d ")) == 0
+
+
+def test_places_of_several_sequences_at_once():
+    rng = np.random.default_rng(5)
+    sizes, least = [1, 30, 4, 5, 12, 3, 40], 5
+    values, parted = rng.integers(0, 20, sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+    got = np.split(passages.least_somewhere(values, least, parted), np.cumsum(sizes)[:-1])
+    for own, part in zip(got, np.split(values, np.cumsum(sizes)[:-1])):
+        want = [any(part[s : s + least].min() == v for s in range(max(0, i - least + 1), min(i, len(part) - least) + 1)) for i, v in enumerate(part)]
+        assert own.tolist() == want
+
+
+def test_links_are_counted_without_a_row_for_each_word_of_a_set(spark):
+    # 300 texts with one signature each, all of 40 sets of 30 words
+    sets = spark.range(40).selectExpr(
+        "id AS s", "transform(sequence(0L, 29L), w -> struct(w + id % 3 AS word, shiftleft(1L, cast(id AS int)) AS bits)) AS words"
+    )
+    linked = spark.range(300 * 40).selectExpr("cast(id / 40 AS long) AS nid", "id % 40 AS s").where("s < 20 + nid % 7")
+    got = passages.link_counts(linked, sets).collect()
+    want = {n: len({(w + s % 3, s) for s in range(20 + n % 7) for w in range(30)}) - 1 for n in range(300)}
+    assert {r.nid: r.n_links for r in got} == want
+    calls, explode = [], passages.F.explode
+    passages.F.explode = lambda c: calls.append(str(c)) or explode(c)
+    try:
+        passages.link_counts(linked, sets)
+    finally:
+        passages.F.explode = explode
+    assert not any("words" in c for c in calls)
+
+
+@pytest.mark.parametrize("text", ["w " * 50, "w " * 50 + "w", "\n" + "w\t" * 50 + "w ", "w", "", " " * 99, "é " * 80, ("w" * 300 + " \r\n") * 51])
+def test_long_texts_are_told_by_their_words(spark, text):
+    frame = spark.createDataFrame([(text,)], "text string")
+    assert frame.select(F.col("text").rlike(passages.LONG)).first()[0] == (len(words(text)) >= passages.MIN_WORDS)
