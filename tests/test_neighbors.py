@@ -158,6 +158,14 @@ def test_isolation_forest_finds_outliers(spark):
     assert again.offset == model.offset
 
 
+def test_trees_split_values_next_to_each_other():
+    rows = np.array([[1.0], [np.nextafter(1.0, 2.0)], [np.nextafter(1.0, 2.0)]])
+    for seed in range(20):
+        nodes = anomaly._grow_tree(rows, seed, 8)
+        assert [n[0] for n in nodes] == [0, 1, 2]
+        assert nodes[0][3] == 1.0
+
+
 def test_one_class_svm_finds_outliers(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 1, (500, 2)), [[9.0, 9.0], [-10.0, 8.0]]])
