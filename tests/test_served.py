@@ -138,3 +138,14 @@ def test_matrices_are_paired_by_place(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_paired(spark, x, x)
     assert len(SENSORS) == 5 and SHORT
+
+
+def test_matrices_are_not_broadcast(spark, tmp_path):
+    x = str(tmp_path / "X_big")
+    spark.range(2000).selectExpr("id as v").repartition(3).write.parquet(x)
+    spark.range(2000).selectExpr("0 as label").repartition(2).write.parquet(readers.labels_path(x))
+    plan = readers.read_paired(spark, x)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # rows are paired by a merge; of file names and rows, the names are the side that is broadcast
+    assert len(joins) == 3 and "SortMergeJoin [place" in joins[0]
+    assert all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins[1:])
