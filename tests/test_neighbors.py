@@ -194,3 +194,32 @@ def test_smote_rows_lie_between_minority_neighbours(spark):
                 t = 0.0 if np.allclose(a, b) else np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
                 gaps.append(np.abs(a + t * (b - a) - p).max())
         assert min(gaps) < 1e-9
+
+
+def test_search_moves_no_rows_between_tasks(spark):
+    cols = ["x0", "x1", "x2"]
+    cells = neighbors.build_cells(neighbors.distinct_vectors(spark.createDataFrame(points()), cols, "id"), 16, 64)
+    for found in (neighbors.knn(cells, 5), neighbors.count_within(cells, 0.5), neighbors.count_within(cells, 0.5, enough=3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_counting_ends_when_there_are_enough(spark):
+    data, cols = points(), ["x0", "x1", "x2"]
+    cells = neighbors.build_cells(neighbors.distinct_vectors(spark.createDataFrame(data), cols, "id"), 16, 64)
+    whole = {r["vid"]: r["n"] for r in neighbors.count_within(cells, 0.5).collect()}
+    some = {r["vid"]: r["n"] for r in neighbors.count_within(cells, 0.5, enough=5).collect()}
+    assert {v: n >= 5 for v, n in whole.items()} == {v: n >= 5 for v, n in some.items()}
+    assert all(some[v] == n for v, n in whole.items() if n < 5) and sum(some.values()) < sum(whole.values())
+
+
+def test_a_dense_place_gives_few_links(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.uniform(0, 1, (800, 2)), rng.uniform(50, 51, (200, 2))])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1000), "a": x[:, 0], "b": x[:, 1]}))
+    cells = neighbors.build_cells(neighbors.distinct_vectors(df, ["a", "b"], "id"), 16, 64)
+    rooted, links = neighbors.roots_within(cells, 0.5)
+    assert rooted.blocks.count() > 60 and links.distinct().count() <= 120
+    assert neighbors.marked_rows(rooted).select("m").distinct().count() <= 32
+    got = {(r["node"], r["label"]) for r in graphs.components(links).collect()}
+    assert {label for _, label in got} <= {0, 800}
