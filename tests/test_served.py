@@ -149,3 +149,32 @@ def test_matrices_are_not_broadcast(spark, tmp_path):
     # rows are paired by a merge; of file names and rows, the names are the side that is broadcast
     assert len(joins) == 3 and "SortMergeJoin [place" in joins[0]
     assert all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins[1:])
+
+
+def test_slices_of_time_are_bounded(spark):
+    rows = spark.range(1000).selectExpr("id", "case when id % 10 = 0 then null when id % 4 = 1 then 500 else cast(id as double) end as at")
+    slices = [[r["at"] for r in part.collect()] for part in served.time_slices(rows, "at", 100)]
+    assert len(slices) > 5 and sum(map(len, slices)) == 1000
+    assert max(len(s) for s in slices) < 400
+    assert sum(None in s for s in slices) == 1 and None in slices[-1]
+    known = [[v for v in s if v is not None] for s in slices]
+    assert all(max(a) < min(b) for a, b in zip(known, known[1:]))
+    assert len(served.time_slices(rows, "at")) == 1
+
+
+def test_replay_with_many_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(served, "ROWS_PER_SLICE", 60)
+    monkeypatch.setattr(served, "slice_files", lambda spark: 1)
+    n = 300
+    events = spark.range(n).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id * 2 as int), 0, 0) as ts",
+        "id % 4 as user_id", "'view' as event_type", "cast(id % 50 as double) as value", "'{\"k\": 7}' as props",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    batches = []
+    monkeypatch.setattr(served.scoring, "committed", lambda s, o, name, f=scoring.committed: batches.append(f(s, o, name)) or batches[-1])
+    got = served.stream_replayed(spark, str(tmp_path)).collect()
+    # a message in three that are spoiled is set aside; none of the others is lost or doubled
+    assert sorted(r["udi"] for r in got) == [i for i in range(n) if i % 101 and i % 103 and i % 107]
+    assert {r["n_stored"] for r in got} == {1}
+    assert batches[0].select("batch").distinct().count() > 3
