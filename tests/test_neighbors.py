@@ -202,6 +202,9 @@ def test_search_moves_no_rows_between_tasks(spark):
     for found in (neighbors.knn(cells, 5), neighbors.count_within(cells, 0.5), neighbors.count_within(cells, 0.5, enough=3)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+        # the task numbers they start from are no measure of their size
+        joined = cells.refs.join(found.filter("vid > 3").select("vid"), "vid", "left")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in joined and "Broadcast" not in joined
 
 
 def test_counting_ends_when_there_are_enough(spark):
